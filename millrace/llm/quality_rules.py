@@ -93,7 +93,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> list[fl
     corpus size.
     """
     ids = trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
-    marked = docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["_trusted"], "left")
+    # one plan at every size: the texts move once, however few ids there are
+    marked = docs.select("doc_id", "text").join(ids.hint("merge"), docs["doc_id"] == ids["_trusted"], "left")
     each = marked.select(F.col("_trusted").isNotNull().alias("good"), F.explode(grams(F.col("text"), bits)).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("good").alias("good")).collect()
     raw, good = [1.0] * (1 << bits), [1.0] * (1 << bits)
