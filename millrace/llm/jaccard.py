@@ -1,8 +1,10 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A text's tokens are its distinct word shingles.  Tokens have one global order:
-first by frequency class (a coarse class of how often a token's hash bucket
-occurs over all texts), then by hash.  For a threshold t, a set of s tokens has
+first by frequency class, then by hash.  A token's class is the binary
+logarithm of how often chance would give it, from the frequencies of its words,
+or of how far its cell in a sketch of all shingles stands above the mean cell,
+whichever is greater; both sketches count whole texts of all documents.  For a threshold t, a set of s tokens has
 the k-extended prefix of its first ``s - ceil(t*s) + k`` tokens; two sets that
 reach t share at least k tokens inside both prefixes.  With k = 2 that gives
 the index: a prefix token of the rare class is a key by itself, and every pair
@@ -17,6 +19,9 @@ key's texts: equal sets are one node; keys with the same nodes count once; each
 node is first compared with the least node of its key, and only keys whose
 nodes still lie in several components go on, where their whole sets are
 compared by blocks inside one task and only links that join components come out.
+Before whole sets travel, short signatures do: a set's tokens counted by hash in
+SIGNATURE cells.  The sum of two signatures' lesser cells bounds the
+intersection from above, so what it rules out can't be a link.
 """
 
 from __future__ import annotations
@@ -38,14 +43,48 @@ SKETCH_BITS = 18
 LARGE = 256
 #: Nodes of a key compared at once; larger keys are cut into blocks of so many.
 BLOCK = 512
+#: Highest class of a token that is a key by itself: chance gives it to two texts or fewer.
+RARE = 1
+#: Cells of a signature, a byte each.
+SIGNATURE = 256
 #: Sketches summed by one task of the reduction tree.
 FAN_IN = 64
 
 
+def cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = flat(texts)
+    return word_hashes(lower_ascii(data), offsets)
+
+
 def text_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-word shingle hashes of each text, and where each text's begin."""
-    data, offsets = flat(texts)
-    return distinct_sets(*shingle_hashes(*word_hashes(lower_ascii(data), offsets), n))
+    return distinct_sets(*shingle_hashes(*text_words(texts), n))
+
+
+def classed_sets(texts: pa.Array, n: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text_sets() and each token's frequency class; 0 or less is rare."""
+    words, first = text_words(texts)
+    values, at = shingle_hashes(words, first, n)
+    by_word, by_shingle = sketch
+    share = np.log2(np.maximum(by_word[cell(words)], 1) / max(by_word.sum(), 1))
+    total = np.concatenate([[0.0], np.cumsum(share)])
+    counts = np.diff(at)
+    have = np.repeat(np.minimum(np.diff(first), n), counts)
+    start = np.repeat(first[:-1] - at[:-1], counts) + np.arange(len(values))
+    # rounded sums, so that the same words give the same class wherever they stand
+    chance = np.floor(np.round(total[start + have] - total[start], 6) + np.log2(max(by_word.sum(), 1)))
+    above = np.floor(np.log2(np.maximum(by_shingle[cell(values)], 1) / (2 * by_shingle.mean() + 64))) + 1
+    level = np.maximum(np.where(above > 0, above, -60), np.maximum(chance, -60)).astype(np.int64)
+    owner = np.repeat(np.arange(len(at) - 1), counts)
+    order = np.lexsort((values, owner))
+    v, o, c = values[order], owner[order], level[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
+    return v[new], np.searchsorted(o[new], np.arange(len(at))), c[new]
 
 
 def set_ids(values: np.ndarray, at: np.ndarray) -> list[bytes | None]:
@@ -74,7 +113,7 @@ def prefix_keys(tokens: np.ndarray, level: np.ndarray, t: Fraction) -> np.ndarra
     keys = []
     if s * t.numerator <= LARGE * t.denominator:
         head = order[: s - least + 2]
-        rare = level[head] == 0
+        rare = level[head] <= RARE
         keys.append(tokens[head[rare]])
         often = np.sort(tokens[head[~rare]])
         if len(often) > 1:
@@ -86,27 +125,23 @@ def prefix_keys(tokens: np.ndarray, level: np.ndarray, t: Fraction) -> np.ndarra
     return np.unique(np.concatenate(keys))
 
 
-def levels(sketch: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """0 for the rare class; else how many doublings a token's cell stands above twice the mean cell."""
-    base = 2 * sketch.mean() + 64
-    return np.maximum(np.floor(np.log2(np.maximum(sketch[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], 1) / base)) + 1, 0).astype(np.int64)
-
-
 def _pack(sketch: np.ndarray) -> bytes:
     return zlib.compress(sketch.tobytes(), 1)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), np.int64)
+    return np.frombuffer(zlib.decompress(blob), np.int64).reshape(2, -1)
 
 
 def _scan(n: int):
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros((2, 1 << SKETCH_BITS), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                values, at = text_sets(part.column("text"), n)
-                sketch += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                words, first = text_words(part.column("text"))
+                values, at = distinct_sets(*shingle_hashes(words, first, n))
+                sketch[0] += np.bincount(cell(words), minlength=1 << SKETCH_BITS)
+                sketch[1] += np.bincount(cell(values), minlength=1 << SKETCH_BITS)
                 rows = len(at) - 1
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(at)), pa.array(set_ids(values, at), pa.binary()), pa.nulls(rows, pa.binary())],
@@ -122,7 +157,7 @@ def _scan(n: int):
 
 
 def _sum_sketches(batches):
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    total = np.zeros((2, 1 << SKETCH_BITS), np.int64)
     for batch in batches:
         for blob in batch.column("sketch"):
             total += _unpack(blob.as_py())
@@ -131,13 +166,13 @@ def _sum_sketches(batches):
 
 
 def _frequency_sketch(blobs: DataFrame) -> np.ndarray:
-    """Sums the tasks' sketches in a tree; the result has 2**SKETCH_BITS cells at every corpus size."""
+    """Sums the tasks' sketches in a tree; the result has 2 * 2**SKETCH_BITS cells at every corpus size."""
     parts = blobs.count()
     while parts > 1:
         parts = -(-parts // FAN_IN)
         blobs = durable(blobs.repartition(parts).mapInArrow(_sum_sketches, "sketch binary"), "sketch")
     rows = blobs.collect()
-    return _unpack(rows[0][0]) if rows else np.zeros(1 << SKETCH_BITS, np.int64)
+    return _unpack(rows[0][0]) if rows else np.zeros((2, 1 << SKETCH_BITS), np.int64)
 
 
 def _index(n: int, t: Fraction, sketch):
@@ -145,9 +180,8 @@ def _index(n: int, t: Fraction, sketch):
         counts = sketch.value
         for batch in batches:
             for part in slices(batch, "text"):
-                values, at = text_sets(part.column("text"), n)
+                values, at, level = classed_sets(part.column("text"), n, counts)
                 ids = set_ids(values, at)
-                level = levels(counts, values)
                 keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for i in range(len(at) - 1):
                     own = prefix_keys(values[at[i] : at[i + 1]], level[at[i] : at[i + 1]], t)
@@ -155,7 +189,7 @@ def _index(n: int, t: Fraction, sketch):
                     owners.append(np.full(len(own), i))
                 owner = np.concatenate(owners)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids, pa.binary()).take(pa.array(owner))], ["key", "set_id"]
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids, pa.binary()).take(pa.array(owner)), pa.array(np.diff(at)[owner])], ["key", "set_id", "size"]
                 )
 
     return run
@@ -167,7 +201,8 @@ def _sets(n: int):
             for part in slices(batch, "text"):
                 values, at = text_sets(part.column("text"), n)
                 raw = [values[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
-                yield pa.RecordBatch.from_arrays([part.column("set_id"), pa.array(raw, pa.binary())], ["set_id", "tokens"])
+                signs = [signature(values[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
+                yield pa.RecordBatch.from_arrays([part.column("set_id"), pa.array(raw, pa.binary()), pa.array(signs, pa.binary())], ["set_id", "tokens", "sign"])
 
     return run
 
@@ -177,6 +212,55 @@ def reaches(both, size_a, size_b, t: Fraction):
     return both * t.denominator >= t.numerator * (size_a + size_b - both)
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Counts of a set's tokens by cell; empty, which bounds nothing, where a count needs more than a byte."""
+    counts = np.bincount((tokens & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 1 << 8 else b""
+
+
+def _signatures(column) -> tuple[np.ndarray, np.ndarray]:
+    """(counts by row, rows that have a bound)."""
+    raw = column.to_pylist()
+    known = np.array([len(x) > 0 for x in raw], bool)
+    return np.stack([np.frombuffer(x, np.uint8).astype(np.int64) if x else np.zeros(SIGNATURE, np.int64) for x in raw]) if raw else np.zeros((0, SIGNATURE), np.int64), known
+
+
+def _possible(t: Fraction):
+    """Keeps pairs that their signatures don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            x, x_known = _signatures(batch.column("x_sign"))
+            y, y_known = _signatures(batch.column("y_sign"))
+            keep = reaches(np.minimum(x, y).sum(1), x.sum(1), y.sum(1), t) | ~x_known | ~y_known
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def open_rows_of(signs: np.ndarray, known: np.ndarray, labels: np.ndarray, home: np.ndarray, t: Fraction) -> np.ndarray:
+    """Rows of a block that may link to a row of another label, by their signatures."""
+    size = signs.sum(1)
+    if (~known).any():
+        return np.ones(len(size), bool)
+    keep = np.zeros(len(size), bool)
+    for i in range(len(size)):
+        other = (labels != labels[i]) & (home | home[i])
+        both = np.minimum(signs[i], signs[other]).sum(1)
+        keep[i] = bool(reaches(both, size[i], size[other], t).any())
+    return keep
+
+
+def _narrow(t: Fraction):
+    def run(group):
+        signs, known = _signatures(group.column("sign"))
+        labels = np.array(group.column("label").to_pylist(), object)
+        keep = open_rows_of(signs, known, labels, group.column("home").to_numpy(zero_copy_only=False), t)
+        return group.select(["key", "block", "set_id", "label", "home"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(t: Fraction):
     def run(batches):
         for batch in batches:
@@ -255,25 +339,34 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     rows = scan.where("sketch is null").select("doc_id", "n_shingles", "set_id")
     sketch = spark.sparkContext.broadcast(_frequency_sketch(scan.where("sketch is not null").select("sketch")))
 
-    index = durable(docs.mapInArrow(_index(words, t, sketch), "key long, set_id binary").distinct(), "index")
-    buckets = index.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("set_id").alias("rep"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.hash("set_id").cast("long")).alias("y")
+    index = durable(docs.mapInArrow(_index(words, t, sketch), "key long, set_id binary, size long"), "index")
+    mark = F.xxhash64("set_id")
+    shared = index.groupBy("key").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a < b").select("key")
+    found = durable(index.join(shared, "key").distinct(), "found")
+    discard(index)
+    buckets = found.groupBy("key").agg(
+        F.count("*").alias("n"), F.min(F.struct("set_id", "size")).alias("rep"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.hash("set_id").cast("long")).alias("y")
     )
-    kept = buckets.where("n > 1").groupBy("n", "rep", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "rep")
-    members = durable(index.join(kept, "key"), "members")
+    # keys with the same nodes count once
+    kept = buckets.groupBy("n", "rep", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "rep")
+    members = durable(found.join(kept, "key"), "members")
+    discard(found)
 
     wanted = members.select("set_id").distinct().join(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id")
     texts = docs.join(wanted, "doc_id").dropDuplicates(["set_id"])
-    sets = durable(texts.select("set_id", "text").mapInArrow(_sets(words), "set_id binary, tokens binary"), "sets")
+    sets = durable(texts.select("set_id", "text").mapInArrow(_sets(words), "set_id binary, tokens binary, sign binary"), "sets")
 
-    star = members.where("set_id <> rep").select(F.col("set_id").alias("x"), F.col("rep").alias("y")).distinct()
+    close = F.least("size", "rep.size") * den >= F.greatest("size", "rep.size") * num
+    star = members.where((F.col("set_id") != F.col("rep.set_id")) & close).select(F.col("set_id").alias("x"), F.col("rep.set_id").alias("y")).distinct()
+    star = star.join(sets.select(F.col("set_id").alias("x"), F.col("sign").alias("x_sign")), "x").join(sets.select(F.col("set_id").alias("y"), F.col("sign").alias("y_sign")), "y")
+    star = durable(star.mapInArrow(_possible(t), "x binary, y binary"), "star")
     pairs = star.join(sets.select(F.col("set_id").alias("x"), F.col("tokens").alias("x_tokens")), "x").join(
         sets.select(F.col("set_id").alias("y"), F.col("tokens").alias("y_tokens")), "y"
     )
     near = durable(pairs.mapInArrow(_verify(t), "a binary, b binary"), "near")
 
     labels = components(near).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
-    placed = members.where("n > 2").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    placed = members.where("n > 2").select("key", "set_id").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     placed = durable(placed, "placed")
     by_label = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
     spread = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most"), F.max("size").alias("top"), F.sum("size").alias("all"))
@@ -284,8 +377,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
         "key", "set_id", "label", F.explode(F.when(F.col("label") == F.col("most"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("block"),
         own.alias("own"),
     ).withColumn("home", F.col("block") == F.col("own"))
+    narrow = open_rows.join(sets.select("set_id", "sign"), "set_id").select("key", "block", "set_id", "label", "home", "sign")
+    narrow = durable(narrow.groupBy("key", "block").applyInArrow(_narrow(t), "key long, block long, set_id binary, label binary, home boolean"), "narrow")
     more = (
-        open_rows.join(sets, "set_id")
+        narrow.join(sets.select("set_id", "tokens"), "set_id")
         .select("key", "block", "set_id", "label", "home", "tokens")
         .groupBy("key", "block")
         .applyInArrow(_resolve(t), "a binary, b binary")
@@ -297,10 +392,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(least, "component").select("set_id", "component_id")
     out = rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    links_done = durable(out, "components")
-    for x in (index, placed, members, sets, near, links, scan):
+    done = durable(out, "components")
+    for x in (placed, members, sets, star, narrow, near, links, scan):
         discard(x)
-    return links_done
+    return done
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
