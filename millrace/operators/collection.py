@@ -13,6 +13,7 @@ from typing import TYPE_CHECKING, Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.reducers import Reducer, ordered
 
@@ -70,12 +71,12 @@ class Collection:
 
     def map_py(self, f: Callable[[tuple], tuple], schema: str) -> Collection:
         """A Python function over rows, carried in Arrow batches."""
-        names = self._df.sparkSession.createDataFrame([], schema).columns
+        made = to_arrow_schema(self._df.sparkSession.createDataFrame([], schema).schema)
 
         def run(batches):
             for b in batches:
                 rows = [f(r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows]) if rows else pa.RecordBatch.from_pylist([])
+                yield pa.RecordBatch.from_pylist([dict(zip(made.names, r, strict=True)) for r in rows], schema=made)
 
         return Collection(self._df.mapInArrow(run, schema))
 

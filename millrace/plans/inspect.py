@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 
 
 def executed_plan(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan; after a run, the final one alone."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
 def exchanges(df: DataFrame) -> int:

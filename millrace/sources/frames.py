@@ -23,13 +23,11 @@ def from_rows(spark: SparkSession, rows: Iterable, schema: StructType | str, par
 
 def from_partitions(spark: SparkSession, parts: Sequence[Sequence], schema: StructType | str) -> Collection:
     """One partition for each sequence of rows; an empty list of partitions gives an empty collection."""
-    frames = [spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in p], schema).coalesce(1) for p in parts]
-    if not frames:
+    parts = [[r if isinstance(r, tuple) else (r,) for r in p] for p in parts]
+    if not parts:
         return Collection(spark.createDataFrame([], schema))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return Collection(out)
+    # an RDD, as Spark merges small local frames whatever their partitions
+    return Collection(spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda p: p), schema))
 
 
 def from_frame(df: DataFrame) -> Collection:
