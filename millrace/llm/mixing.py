@@ -82,18 +82,16 @@ def pair_units(mass: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.nd
             continue
         i = open_at
         up, down = min(size[i] - mass[i], mass[j]), min(mass[i], size[j] - mass[j])
-        if u[j] * (up + down) < down:
-            full, empty, move = size[i] - mass[i] <= mass[j], mass[j] <= size[i] - mass[i], up
+        rise = u[j] * (up + down) < down
+        if rise:
+            done_i, done_j, move = size[i] - mass[i] <= mass[j], mass[j] <= size[i] - mass[i], up
+            extra[i] = done_i
         else:
-            full, empty, move = mass[i] <= size[j] - mass[j], size[j] - mass[j] <= mass[i], -down
-        if move > 0:
-            extra[i] = full
-            open_at = -1 if full and empty else (j if full else i)
-        else:
-            extra[j] = empty
-            open_at = -1 if full and empty else (j if full else i)
-        mass[i] += move
-        mass[j] -= move
+            done_i, done_j, move = mass[i] <= size[j] - mass[j], size[j] - mass[j] <= mass[i], -down
+            extra[j] = done_j
+        open_at = -1 if done_i and done_j else (j if done_i else i)
+        mass[i] = min(max(mass[i] + move, 0.0), size[i])
+        mass[j] = min(max(mass[j] - move, 0.0), size[j])
     return extra, open_at
 
 
