@@ -9,6 +9,10 @@ blank after it.  The tokenizer's own splitter never joins characters across a
 blank, so on both edges of the piece the tokens agree exactly; a chunk without
 a blank keeps the join open into the next chunk.
 
+Unknown pieces of a chunk that are plain words are encoded in one call and told
+apart by the tokens that close a word; where these don't add up, and for all
+other pieces, each piece is encoded by itself.
+
 Both tables (chunks and words) are bounded; a full table starts anew, which
 costs time and never changes a result.
 """
@@ -32,6 +36,8 @@ CHUNKS = 20_000
 WORDS = 250_000
 
 _BLANK = re.compile(r"[ \t\n\r]+")
+#: Pieces that the tokenizer splits into one run of letters and perhaps one mark; no normaliser changes where.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?")
 _GEAR = np.random.default_rng(99).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -58,20 +64,53 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.chunks: dict[bytes, tuple] = {}
         self.reused = self.made = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the tables of words: ids as 32-bit numbers and decoded text of pieces between blanks."""
+        self.ids: dict[str, bytes] = {"": b""}
+        self.decoded: dict[str, str] = {"": ""}
+
+    def learn(self, pieces: list[str]) -> None:
+        """Have all pieces in the tables."""
+        missing = [p for p in dict.fromkeys(pieces) if p not in self.ids]
+        if missing and len(self.ids) + len(missing) > WORDS:
+            self.forget()
+            missing = [p for p in dict.fromkeys(pieces) if p]
+        plain = [p for p in missing if _PLAIN.fullmatch(p)]
+        if len(plain) > 1 and self.learn_together(plain):
+            missing = [p for p in missing if p not in self.ids]
+        for p in missing:
+            ids = self.tokenizer.encode(p, add_special_tokens=False).ids
+            self.ids[p] = np.array(ids, np.int32).tobytes()
+            self.decoded[p] = self.tokenizer.decode(ids, skip_special_tokens=False)
+
+    def learn_together(self, plain: list[str]) -> bool:
+        """Encode plain pieces in one call; False, and nothing learnt, where the ids can't be told apart by word ends."""
+        ids = self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
+        tokens = self.tokenizer.decode(ids, skip_special_tokens=False).split(" ")
+        flat_ids = np.array(ids, np.int32)
+        ends = np.flatnonzero(self.closing[flat_ids]) + 1
+        words = np.cumsum([1 if p[-1].isalpha() else 2 for p in plain])
+        if len(tokens) != len(ids) or len(ends) != words[-1] or ends[-1] != len(ids):
+            return False
+        raw, start = flat_ids.tobytes(), 0
+        for p, end in zip(plain, ends[words - 1].tolist(), strict=True):
+            self.ids[p] = raw[4 * start : 4 * end]
+            self.decoded[p] = " ".join(tokens[start:end])
+            start = end
+        return True
 
     def word(self, text: str) -> tuple[bytes, str]:
         """(ids as 32-bit numbers, decoded text) of a piece between blanks."""
-        found = self.words.get(text)
-        if found is None:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            found = (np.array(ids, np.int32).tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False))
-            if len(self.words) >= WORDS:
-                self.words = {"": (b"", "")}
-            self.words[text] = found
-        return found
+        if text not in self.ids:
+            self.learn([text])
+        return self.ids[text], self.decoded[text]
 
     def chunk(self, raw: bytes) -> tuple:
         """(first piece, ids and decoded text of the whole pieces after it, last piece); the latter three None without a blank."""
@@ -84,8 +123,9 @@ class Encoder:
         if len(pieces) == 1:
             found = (pieces[0], None, None, None)
         else:
-            inner = [self.word(p) for p in pieces[1:-1]]
-            found = (pieces[0], b"".join([x for x, _ in inner]), " ".join([y for x, y in inner if x]), pieces[-1])
+            inner = pieces[1:-1]
+            self.learn(inner)
+            found = (pieces[0], b"".join(map(self.ids.__getitem__, inner)), " ".join(filter(None, map(self.decoded.__getitem__, inner))), pieces[-1])
         if len(self.chunks) >= CHUNKS:
             self.chunks = {}
         self.chunks[raw] = found
