@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Used for intermediates only when the session names no shared folder, as in tests.
 LOCAL_DIR = "/tmp/checkpoints"
+#: Spark's setting that ends a query's shuffle files with the query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts lineage and survives lost executors."""
+    """Write df to the shared folder as Parquet and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write are deleted at its end, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path
     return out

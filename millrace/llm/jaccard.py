@@ -17,11 +17,14 @@ sets near LARGE use both, so no pair of sizes falls between.
 Candidates are then verified on the whole sets.  No stage emits all pairs of a
 key's texts: equal sets are one node; keys with the same nodes count once; each
 node is first compared with the least node of its key, and only keys whose
-nodes still lie in several components go on, where their whole sets are
-compared by blocks inside one task and only links that join components come out.
-Before whole sets travel, short signatures do: a set's tokens counted by hash in
-SIGNATURE cells.  The sum of two signatures' lesser cells bounds the
-intersection from above, so what it rules out can't be a link.
+nodes still lie in several components go on.  There each node is compared with
+the likeliest node of another component; what is still open after that is
+compared whole, by blocks inside one task, and only links that join components
+come out.
+Before whole sets travel, short forms of them do: first a signature, a set's
+tokens counted by hash in SIGNATURE cells, then a print, the last 16 bits of each
+token.  The sum of the lesser counts of two short forms bounds the intersection
+from above, so what it rules out can't be a link.
 """
 
 from __future__ import annotations
@@ -202,7 +205,8 @@ def _sets(n: int):
                 values, at = text_sets(part.column("text"), n)
                 raw = [values[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
                 signs = [signature(values[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
-                yield pa.RecordBatch.from_arrays([part.column("set_id"), pa.array(raw, pa.binary()), pa.array(signs, pa.binary())], ["set_id", "tokens", "sign"])
+                prints = [np.sort(values[at[i] : at[i + 1]].astype(np.uint16)).tobytes() for i in range(len(at) - 1)]
+                yield pa.RecordBatch.from_arrays([part.column("set_id"), *[pa.array(x, pa.binary()) for x in (raw, signs, prints)]], ["set_id", "tokens", "sign", "print"])
 
     return run
 
@@ -222,7 +226,7 @@ def _signatures(column) -> tuple[np.ndarray, np.ndarray]:
     """(counts by row, rows that have a bound)."""
     raw = column.to_pylist()
     known = np.array([len(x) > 0 for x in raw], bool)
-    return np.stack([np.frombuffer(x, np.uint8).astype(np.int64) if x else np.zeros(SIGNATURE, np.int64) for x in raw]) if raw else np.zeros((0, SIGNATURE), np.int64), known
+    return np.stack([np.frombuffer(x or bytes(SIGNATURE), np.uint8) for x in raw]) if raw else np.zeros((0, SIGNATURE), np.uint8), known
 
 
 def _possible(t: Fraction):
@@ -232,31 +236,37 @@ def _possible(t: Fraction):
         for batch in batches:
             x, x_known = _signatures(batch.column("x_sign"))
             y, y_known = _signatures(batch.column("y_sign"))
-            keep = reaches(np.minimum(x, y).sum(1), x.sum(1), y.sum(1), t) | ~x_known | ~y_known
+            keep = reaches(np.minimum(x, y).sum(1, dtype=np.int64), x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64), t) | ~x_known | ~y_known
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def open_rows_of(signs: np.ndarray, known: np.ndarray, labels: np.ndarray, home: np.ndarray, t: Fraction) -> np.ndarray:
-    """Rows of a block that may link to a row of another label, by their signatures."""
-    size = signs.sum(1)
-    if (~known).any():
-        return np.ones(len(size), bool)
-    keep = np.zeros(len(size), bool)
+def likely_partners(signs: np.ndarray, known: np.ndarray, labels: np.ndarray, home: np.ndarray, t: Fraction) -> np.ndarray:
+    """For each row of a block the row of another label that their signatures make likeliest, or -1 where they rule all out."""
+    size = signs.sum(1, dtype=np.int64)
+    out = np.full(len(size), -1)
     for i in range(len(size)):
-        other = (labels != labels[i]) & (home | home[i])
-        both = np.minimum(signs[i], signs[other]).sum(1)
-        keep[i] = bool(reaches(both, size[i], size[other], t).any())
-    return keep
+        other = np.flatnonzero((labels != labels[i]) & (home | home[i]))
+        both = np.minimum(signs[i], signs[other]).sum(1, dtype=np.int64)
+        open_to = reaches(both, size[i], size[other], t) | ~known[other] | ~known[i]
+        if open_to.any():
+            likeness = np.where(open_to, both / np.maximum(size[i] + size[other] - both, 1), -1.0)
+            out[i] = other[likeness.argmax()]
+    return out
+
+
+_NARROW = "key long, block long, set_id binary, label binary, home boolean, partner binary"
 
 
 def _narrow(t: Fraction):
     def run(group):
         signs, known = _signatures(group.column("sign"))
-        labels = np.array(group.column("label").to_pylist(), object)
-        keep = open_rows_of(signs, known, labels, group.column("home").to_numpy(zero_copy_only=False), t)
-        return group.select(["key", "block", "set_id", "label", "home"]).filter(pa.array(keep, pa.bool_()))
+        labels = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
+        partner = likely_partners(signs, known, labels, group.column("home").to_numpy(zero_copy_only=False), t)
+        ids = group.column("set_id").combine_chunks()
+        near = ids.take(pa.array(np.maximum(partner, 0)))
+        return group.select(["key", "block", "set_id", "label", "home"]).append_column("partner", near).filter(pa.array(partner >= 0))
 
     return run
 
@@ -275,18 +285,10 @@ def _verify(t: Fraction):
     return run
 
 
-def block_links(ids: list[bytes], labels: list[bytes], sets: list[np.ndarray], home: np.ndarray, t: Fraction) -> list[tuple[bytes, bytes]]:
-    """Links between nodes of different labels, one for each two labels that they join; home: rows that are no guests."""
-    parent: dict[bytes, bytes] = {}
-
-    def root(x: bytes) -> bytes:
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
+def overlaps(sets: list[np.ndarray], t: Fraction):
+    """(rows, row, sizes of the intersections) for all rows of near enough sizes, a row of sets at a time."""
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
-    out: list[tuple[bytes, bytes]] = []
     for start in range(0, len(order), 128):
         rows = order[start : start + 128]
         top = sizes[rows[-1]] * t.denominator / t.numerator
@@ -298,17 +300,57 @@ def block_links(ids: list[bytes], labels: list[bytes], sets: list[np.ndarray], h
         for j in others:
             at = np.minimum(np.searchsorted(vocabulary, sets[j]), len(vocabulary) - 1)
             at = at[vocabulary[at] == sets[j]]
-            both = left[:, at].sum(1).astype(np.int64)
-            for k in np.flatnonzero(reaches(both, sizes[rows], sizes[j], t)):
-                i = rows[k]
-                if i != j and (home[i] or home[j]):
-                    a, b = root(labels[i]), root(labels[j])
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        out.append((ids[i], ids[j]))
+            yield rows, j, left[:, at].sum(1).astype(np.int64)
+
+
+def block_links(ids: list[bytes], labels: list[bytes], sets: list[np.ndarray], home: np.ndarray, t: Fraction) -> list[tuple[bytes, bytes]]:
+    """Links between nodes of different labels, one for each two labels that they join; home: rows that are no guests."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    sizes = np.array([len(s) for s in sets])
+    out: list[tuple[bytes, bytes]] = []
+    for rows, j, both in overlaps(sets, t):
+        for k in np.flatnonzero(reaches(both, sizes[rows], sizes[j], t)):
+            i = rows[k]
+            if i != j and (home[i] or home[j]):
+                a, b = root(labels[i]), root(labels[j])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[j]))
     return out
 
 
+def counted(short: np.ndarray) -> np.ndarray:
+    """Sorted 16-bit values with their place among equals, so that common members are the sum of lesser counts."""
+    place = np.arange(len(short)) - np.searchsorted(short, short)
+    return np.sort((place.astype(np.uint64) << np.uint64(16)) | short)
+
+
+def open_by_print(prints: list[np.ndarray], labels: np.ndarray, home: np.ndarray, t: Fraction) -> np.ndarray:
+    """Rows of a block that may link to a row of another label, by their prints."""
+    sizes, keep = np.array([len(x) for x in prints]), np.zeros(len(prints), bool)
+    for rows, j, both in overlaps([counted(x) for x in prints], t):
+        hit = reaches(both, sizes[rows], sizes[j], t) & (labels[rows] != labels[j]) & (home[rows] | home[j])
+        keep[rows[hit]] = True
+        keep[j] |= hit.any()
+    return keep
+
+
+def _narrow_again(t: Fraction):
+    def run(group):
+        labels = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
+        prints = [np.frombuffer(x, np.uint16) for x in group.column("print").to_pylist()]
+        keep = open_by_print(prints, labels, group.column("home").to_numpy(zero_copy_only=False), t)
+        return group.select(["key", "block", "set_id", "label", "home"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _resolve(t: Fraction):
     def run(group):
         ids, labels = group.column("set_id").to_pylist(), group.column("label").to_pylist()
@@ -319,6 +361,24 @@ def _resolve(t: Fraction):
     return run
 
 
+def still_open(placed: DataFrame, links: DataFrame, signs: DataFrame, t: Fraction) -> DataFrame:
+    """The (key, set_id) rows of placed, by blocks, that may link to a node of another component, with the likeliest one."""
+    labels = components(links).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
+    named = durable(placed.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "named")
+    by_label = named.groupBy("key", "label").agg(F.count("*").alias("size"))
+    spread = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most"), F.sum("size").alias("all"))
+    spread = spread.where("labels > 1").withColumn("blocks", F.ceil(F.col("all") / BLOCK))
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    rows = named.join(spread.select("key", "most", "blocks"), "key").select(
+        "key", "set_id", "label", F.explode(F.when(F.col("label") == F.col("most"), F.array(own)).otherwise(everywhere)).alias("block"), own.alias("own")
+    )
+    rows = rows.join(signs, "set_id").select("key", "block", "set_id", "label", (F.col("block") == F.col("own")).alias("home"), "sign")
+    out = durable(rows.groupBy("key", "block").applyInArrow(_narrow(t), _NARROW), "narrow")
+    discard(named)
+    return out
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Connected components of the texts whose shingle sets have a Jaccard similarity of num/den or more.
 
@@ -354,33 +414,36 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     wanted = members.select("set_id").distinct().join(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id")
     texts = docs.join(wanted, "doc_id").dropDuplicates(["set_id"])
-    sets = durable(texts.select("set_id", "text").mapInArrow(_sets(words), "set_id binary, tokens binary, sign binary"), "sets")
+    sets = durable(texts.select("set_id", "text").mapInArrow(_sets(words), "set_id binary, tokens binary, sign binary, print binary"), "sets")
 
     close = F.least("size", "rep.size") * den >= F.greatest("size", "rep.size") * num
     star = members.where((F.col("set_id") != F.col("rep.set_id")) & close).select(F.col("set_id").alias("x"), F.col("rep.set_id").alias("y")).distinct()
     star = star.join(sets.select(F.col("set_id").alias("x"), F.col("sign").alias("x_sign")), "x").join(sets.select(F.col("set_id").alias("y"), F.col("sign").alias("y_sign")), "y")
     star = durable(star.mapInArrow(_possible(t), "x binary, y binary"), "star")
-    pairs = star.join(sets.select(F.col("set_id").alias("x"), F.col("tokens").alias("x_tokens")), "x").join(
-        sets.select(F.col("set_id").alias("y"), F.col("tokens").alias("y_tokens")), "y"
-    )
-    near = durable(pairs.mapInArrow(_verify(t), "a binary, b binary"), "near")
-
-    labels = components(near).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
-    placed = members.where("n > 2").select("key", "set_id").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    placed = durable(placed, "placed")
-    by_label = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
-    spread = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most"), F.max("size").alias("top"), F.sum("size").alias("all"))
-    spread = spread.where("labels > 1").withColumn("blocks", F.ceil(F.col("all") / BLOCK))
-    open_rows = placed.join(spread.select("key", "most", "blocks"), "key")
-    own = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
-    open_rows = open_rows.select(
-        "key", "set_id", "label", F.explode(F.when(F.col("label") == F.col("most"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("block"),
-        own.alias("own"),
-    ).withColumn("home", F.col("block") == F.col("own"))
-    narrow = open_rows.join(sets.select("set_id", "sign"), "set_id").select("key", "block", "set_id", "label", "home", "sign")
-    narrow = durable(narrow.groupBy("key", "block").applyInArrow(_narrow(t), "key long, block long, set_id binary, label binary, home boolean"), "narrow")
+    tokens = sets.select("set_id", "tokens")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(tokens.toDF("x", "x_tokens"), "x").join(tokens.toDF("y", "y_tokens"), "y")
+        return durable(both.mapInArrow(_verify(t), "a binary, b binary"), "near")
+
+    near = verified(star)
+    placed = durable(members.where("n > 2").select("key", "set_id"), "placed")
+    signs = sets.select("set_id", "sign")
+    narrow = still_open(placed, near, signs, t)
+    guess = narrow.select(F.least("set_id", "partner").alias("x"), F.greatest("set_id", "partner").alias("y")).distinct()
+    found = verified(guess)
+    grown = durable(near.unionByName(found), "links")
+    for x in (near, found, narrow):
+        discard(x)
+    near = grown
+    narrow = still_open(placed, near, signs, t)
+    # blocks with the same nodes count once
+    blocks = narrow.groupBy("key", "block").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id", "home")).alias("x"), F.sum(F.hash("set_id", "home").cast("long")).alias("y"))
+    once = blocks.groupBy("n", "x", "y").agg(F.min(F.struct("key", "block")).alias("at")).select("at.key", "at.block")
+    rows_of = narrow.join(once, ["key", "block"]).join(sets.select("set_id", "print"), "set_id").select("key", "block", "set_id", "label", "home", "print")
+    last = durable(rows_of.groupBy("key", "block").applyInArrow(_narrow_again(t), "key long, block long, set_id binary, label binary, home boolean"), "last")
     more = (
-        narrow.join(sets.select("set_id", "tokens"), "set_id")
+        last.join(tokens, "set_id")
         .select("key", "block", "set_id", "label", "home", "tokens")
         .groupBy("key", "block")
         .applyInArrow(_resolve(t), "a binary, b binary")
@@ -393,7 +456,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     named = named.join(least, "component").select("set_id", "component_id")
     out = rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     done = durable(out, "components")
-    for x in (placed, members, sets, star, narrow, near, links, scan):
+    for x in (placed, members, sets, star, narrow, last, near, links, scan):
         discard(x)
     return done
 
