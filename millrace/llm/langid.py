@@ -89,13 +89,14 @@ def _features(batches):
 def svm(x: np.ndarray, y: np.ndarray, rounds: int = 250, reg: float = 1e-4) -> tuple[np.ndarray, float]:
     """A linear machine by averaged sub-gradient steps on the hinge loss; classes weigh alike. y: -1 or 1."""
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w, b = np.zeros(x.shape[1]), 0.0
+    # steps are of the inputs' own kind, as numpy would widen all of x in every round otherwise
+    w, b = np.zeros(x.shape[1], x.dtype), 0.0
     w_sum, b_sum, used = np.zeros(x.shape[1]), 0.0, 0
     for t in range(rounds):
         wrong = y * (x @ w + b) < 1
         step = 2.0 / (1 + t) ** 0.5 / x.shape[1] ** 0.5
-        g = (weight * y * wrong) @ x
-        w = w * (1 - step * reg) + step * g
+        g = (weight * y * wrong).astype(x.dtype) @ x
+        w = w * x.dtype.type(1 - step * reg) + x.dtype.type(step) * g
         b += step * float((weight * y * wrong).sum())
         if t >= rounds // 2:
             w_sum, b_sum, used = w_sum + w, b_sum + b, used + 1
