@@ -433,13 +433,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     guess = narrow.select(F.least("set_id", "partner").alias("x"), F.greatest("set_id", "partner").alias("y")).distinct()
     found = verified(guess)
     grown = durable(near.unionByName(found), "links")
-    for x in (near, found, narrow):
+    for x in (near, found):
         discard(x)
     near = grown
-    narrow = still_open(placed, near, signs, t)
-    # blocks with the same nodes count once
-    blocks = narrow.groupBy("key", "block").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id", "home")).alias("x"), F.sum(F.hash("set_id", "home").cast("long")).alias("y"))
-    once = blocks.groupBy("n", "x", "y").agg(F.min(F.struct("key", "block")).alias("at")).select("at.key", "at.block")
+    # components only grow, so what is open now was open before: new labels are enough
+    labels = components(near).select(F.col("node").alias("set_id"), F.col("component").alias("new"))
+    narrow_now = narrow.join(labels, "set_id", "left").select("key", "block", "set_id", F.coalesce("new", "label").alias("label"), "home")
+    narrow_now = durable(narrow_now, "narrow")
+    discard(narrow)
+    narrow = narrow_now
+    # blocks with several components go on, those with the same nodes once
+    blocks = narrow.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id", "home")).alias("x"), F.sum(F.hash("set_id", "home").cast("long")).alias("y"))
+    once = blocks.where("low <> high").groupBy("n", "x", "y").agg(F.min(F.struct("key", "block")).alias("at")).select("at.key", "at.block")
     rows_of = narrow.join(once, ["key", "block"]).join(sets.select("set_id", "print"), "set_id").select("key", "block", "set_id", "label", "home", "print")
     last = durable(rows_of.groupBy("key", "block").applyInArrow(_narrow_again(t), "key long, block long, set_id binary, label binary, home boolean"), "last")
     more = (
