@@ -3,11 +3,12 @@
 A page is read into lines (the texts of its blocks).  Pages are ordered by host
 and URL path, and each is paired with that neighbour of the same host whose
 path shares the longer beginning.  Their lines are aligned by a longest common
-subsequence, and a page's shared lines are deleted, for pages of one site share
-their frames.  What stands inside an article or main element is the text
-itself, which copies of a page share too; so shared lines are deleted only
-outside such elements, and not where they are most of the text that a page
-without one has.  Blocks that say what they are (nav, footer, class="ad" and
+subsequence, and a page's shared lines are deleted wherever they stand, for
+pages of one site share their frames.  Unshared lines stay, also beside an
+article or main element.  Where shared lines are most of the text in such
+elements, or most of all text on a page without one, the pair are near copies,
+and those lines stay; beside an element shared lines are deleted even then.
+Blocks that say what they are (nav, footer, class="ad" and
 the like) take part in the alignment and never in the text.
 """
 
@@ -140,14 +141,12 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
 def main_text(kinds: list[int], texts: list[str], hashes: list[int], near: list[int]) -> str:
     """The page's text after its lines were compared with those of its nearest page (none: an empty list)."""
     shared = shared_lines(hashes, near)
-    inside = [t for k, t in zip(kinds, texts, strict=True) if k == INSIDE]
-    if inside:
-        return " ".join(inside)
-    outside = [i for i, k in enumerate(kinds) if k == OUTSIDE]
-    rest = [i for i in outside if i not in shared]
-    if 2 * sum(len(texts[i]) for i in rest) < sum(len(texts[i]) for i in outside):
-        rest = outside
-    return " ".join(texts[i] for i in rest)
+    inside = [i for i, k in enumerate(kinds) if k == INSIDE]
+    # the lines that tell a near copy: those of the element, or all on a page without one
+    body = inside or [i for i, k in enumerate(kinds) if k == OUTSIDE]
+    if 2 * sum(len(texts[i]) for i in body if i not in shared) < sum(len(texts[i]) for i in body):
+        shared -= set(body)
+    return " ".join(t for i, (k, t) in enumerate(zip(kinds, texts, strict=True)) if k != FRAME and i not in shared)
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -151,6 +151,23 @@ def test_html_table(spark):
     assert found == {1: "first text of the site", 2: "second text of the site", 3: "", 4: ""}
 
 
+def test_html_alignment_decides_beside_and_inside_an_article(spark):
+    def page(lead, own):
+        return f"<div>{lead}</div><div>Site frame</div><article><p>{own}</p><p>All rights reserved.</p></article>"
+
+    rows = [
+        (1, "http://h/a/1", page("lead one", "first text of the site")), (2, "http://h/a/2", page("lead two", "second text of the site")),
+        (3, "http://copy/1", page("lead three", "the same long text on both")), (4, "http://copy/2", page("lead four", "the same long text on both")),
+        (5, "http://alone/", page("lead five", "text without a neighbour")),
+    ]
+    found = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {
+        1: "lead one first text of the site", 2: "lead two second text of the site",
+        3: "lead three the same long text on both All rights reserved.", 4: "lead four the same long text on both All rights reserved.",
+        5: "lead five Site frame text without a neighbour All rights reserved.",
+    }
+
+
 def test_bpe(docs, spark):
     public = pytest.importorskip("public_tokenizers")
     tokenizers = pytest.importorskip("tokenizers")
