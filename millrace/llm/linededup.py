@@ -1,9 +1,11 @@
 """Substring dedup by hashing lines and the sentences inside them.
 
 A unit is a line, or a sentence of a line with several, of min_words words or
-more.  Units are normalised (lower case, one space between words), their
+more.  A shorter line or sentence says little by itself; it counts together
+with the pieces after it, and with those before it, up to min_words words, over
+line ends too.  Units are normalised (lower case, one space between words), their
 128-bit digests are grouped over all texts, the occurrence that ranks first by
-(doc_id, offset) stays, and the others are cut from their texts.  The cut spans
+(doc_id, offset) stays, and the others that don't overlap it are cut.  The cut spans
 keep their offsets in the original text.
 """
 
@@ -13,10 +15,10 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import discard, durable
+from millrace.llm.frames import durable
 from millrace.llm.textbytes import slices
 
 _LINE = re.compile(r"[^\n]+")
@@ -24,32 +26,55 @@ _BREAK = re.compile(r"(?<=[.!?])\s+")
 
 
 def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
-    """(start, end, normalised text) of a text's units, in code points; lines come before their sentences."""
-    out = []
+    """(start, end, normalised text) of a text's units, in code points; lines come before their sentences, and joined pieces last."""
+    out: dict[tuple[int, int], str] = {}
+    pieces: list[tuple[int, int, list[str]]] = []
 
-    def add(start: int, end: int) -> None:
+    def add(start: int, end: int) -> tuple[int, int, list[str]]:
         words = text[start:end].split()
+        lead = len(text[start:end]) - len(text[start:end].lstrip())
+        tail = len(text[start:end]) - len(text[start:end].rstrip())
         if len(words) >= min_words:
-            lead = len(text[start:end]) - len(text[start:end].lstrip())
-            tail = len(text[start:end]) - len(text[start:end].rstrip())
-            out.append((start + lead, end - tail, " ".join(words).lower()))
+            out[start + lead, end - tail] = " ".join(words).lower()
+        return start + lead, end - tail, words
+
+    def join(some: list[tuple[int, int, list[str]]]) -> None:
+        out.setdefault((some[0][0], some[-1][1]), " ".join(w for _, _, words in some for w in words).lower())
 
     for line in _LINE.finditer(text):
         start, end = line.span()
-        add(start, end)
+        whole = add(start, end)
         cuts = [m.span() for m in _BREAK.finditer(text, start, end)]
         if cuts and end - start > 2 * min_words:
             at = start
             for a, b in [*cuts, (end, end)]:
-                add(at, a)
+                pieces.append(add(at, a))
                 at = b
-    return out
+        else:
+            pieces.append(whole)
+    pieces = [p for p in pieces if p[2]]
+    for i, (_, _, words) in enumerate(pieces):
+        if len(words) >= min_words:
+            continue
+        n, j = len(words), i
+        while n < min_words and j + 1 < len(pieces):
+            j += 1
+            n += len(pieces[j][2])
+        if n >= min_words:
+            join(pieces[i : j + 1])
+        n, j = len(words), i
+        while n < min_words and j:
+            j -= 1
+            n += len(pieces[j][2])
+        if n >= min_words:
+            join(pieces[j : i + 1])
+    return [(a, b, norm) for (a, b), norm in out.items()]
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the spans, the blanks after them inside a line, and lines that they empty."""
+    """The text without the spans, the blanks after them inside a line, and lines that they empty; line ends in a span stay."""
     merged: list[list[int]] = []
-    for a, b in sorted(spans):
+    for a, b in sorted((a + m.start(), a + m.end()) for a, b in set(spans) for m in _LINE.finditer(text[a:b])):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
@@ -99,13 +124,13 @@ def repeated_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
     Null texts have no units; a null doc_id ranks last and rows that share a
     doc_id are one document with each other's spans.
     """
-    rows = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_emit(min_words), "digest binary, doc_id long, start int, end int"), "units")
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "start")
-    first = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    again = rows.join(first, "digest").where(place > F.col("first"))
-    out = durable(again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
-    discard(rows)
-    return out
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_emit(min_words), "digest binary, doc_id long, start int, end int")
+    rank = F.coalesce("doc_id", F.lit(2**63 - 1))
+    # rows of a digest by rising place: each sees the first only, so nothing is gathered
+    upward = Window.partitionBy("digest").orderBy(rank, "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("first", F.first(F.struct(rank.alias("d"), "start", "end")).over(upward))
+    again = rows.where((rank > F.col("first.d")) | (F.col("start") >= F.col("first.end")))
+    return durable(again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:

@@ -105,6 +105,15 @@ def test_line_dedup(docs):
     assert linededup.drop_repeats(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_short_pieces_go_with_their_neighbours(spark):
+    passage = "Short one. This sentence of the passage has more than eight words in it. It ends. Here\nis a line. And a last one."
+    rows = [(1, "Start of the first text. " + passage), (2, "Other words before it. " + passage + "\nWhat the second adds."), (3, "Here it ends.\nShort one.\nNothing comes again."), (4, "Yes. " * 24)]
+    found = {r["doc_id"]: r["text"] for r in linededup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == rows[0][1] and found[3] == rows[2][1]
+    assert found[2] == "Other words before it. \nWhat the second adds."
+    assert found[4].split() == ["Yes."] * 8
+
+
 def test_fingerprints(docs):
     def keys(t):
         return {p.strip(" ") for p in re.split(bloom_diff.PARAGRAPH_END, t or "")} - {""}
