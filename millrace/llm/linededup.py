@@ -5,7 +5,7 @@ more.  A shorter line or sentence says little by itself; it counts together
 with the pieces after it, and with those before it, up to min_words words, over
 line ends too.  Units are normalised (lower case, one space between words), their
 128-bit digests are grouped over all texts, the occurrence that ranks first by
-(doc_id, offset) stays, and the others that don't overlap it are cut.  The cut spans
+(doc_id, digest of the text, offset) stays, and the others that don't overlap it are cut.  The cut spans
 keep their offsets in the original text.
 """
 
@@ -96,15 +96,17 @@ def _emit(min_words: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, digests, starts, ends = [], [], [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                ids, marks, digests, starts, ends = [], [], [], [], []
+                for doc_id, mark, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
                     for a, b, norm in units(text or "", min_words):
                         ids.append(doc_id)
+                        marks.append(mark)
                         digests.append(hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                         starts.append(a)
                         ends.append(b)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["digest", "doc_id", "start", "end"]
+                    [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
+                    ["digest", "doc_id", "mark", "start", "end"],
                 )
 
     return run
@@ -119,18 +121,20 @@ def _apply(batches):
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """(doc_id, spans): for each doc_id with repeats, the spans that an earlier unit repeats, by rising offset.
+    """(doc_id, mark, spans): for each text with repeats, the spans that an earlier unit repeats, by rising offset.
 
-    Null texts have no units; a null doc_id ranks last and rows that share a
-    doc_id are one document with each other's spans.
+    mark is the text's 64-bit digest, so rows that share a doc_id, or have
+    none, keep their spans apart; rows that share doc_id and text are one
+    document.  Null texts have no units; a null doc_id ranks last.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_emit(min_words), "digest binary, doc_id long, start int, end int")
-    rank = F.coalesce("doc_id", F.lit(2**63 - 1))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    rows = docs.mapInArrow(_emit(min_words), "digest binary, doc_id long, mark long, start int, end int")
+    rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("mark").alias("m"))
     # rows of a digest by rising place: each sees the first only, so nothing is gathered
     upward = Window.partitionBy("digest").orderBy(rank, "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("first", F.first(F.struct(rank.alias("d"), "start", "end")).over(upward))
-    again = rows.where((rank > F.col("first.d")) | (F.col("start") >= F.col("first.end")))
-    return durable(again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    rows = rows.withColumn("first", F.first(F.struct(rank.alias("r"), "start", "end")).over(upward))
+    again = rows.where((rank > F.col("first.r")) | (F.col("start") >= F.col("first.end")))
+    return durable(again.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
 
 
 def drop_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
@@ -139,9 +143,10 @@ def drop_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
     A null or empty text stays as it is.  removed_spans is empty where nothing
     was cut; an input column of that name is replaced.
     """
-    spans = repeated_spans(docs, min_words).withColumnRenamed("doc_id", "_cut_id").withColumnRenamed("spans", "_cut_spans")
+    spans = repeated_spans(docs, min_words).toDF("_cut_id", "_cut_mark", "_cut_spans")
     docs = docs.drop("removed_spans")
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["_cut_id"]), "left")
+    own = docs["doc_id"].cast("long").eqNullSafe(spans["_cut_id"]) & (F.xxhash64(docs["text"]) == spans["_cut_mark"])
+    joined = docs.join(spans, own, "left")
     kind = "array<struct<start:int,end:int>>"
     packed = joined.select(
         F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["text"].alias("text"), F.coalesce("_cut_spans", F.array().cast(kind)).alias("spans")

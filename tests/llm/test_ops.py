@@ -114,6 +114,13 @@ def test_line_dedup_short_pieces_go_with_their_neighbours(spark):
     assert found[4].split() == ["Yes."] * 8
 
 
+def test_line_dedup_cuts_only_the_row_that_repeats(spark):
+    again, fresh = "This line of the first text comes again in another one.", "A clean line that is nowhere else, as long as the other one is, stays here."
+    rows = [(1, again), (None, again + "\nIts own end."), (None, fresh), (2, "Another " + fresh), (2, again)]
+    found = Counter((r["doc_id"], r["text"]) for r in linededup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == Counter([(1, again), (None, "Its own end."), (None, fresh), (2, "Another " + fresh), (2, "")])
+
+
 def test_fingerprints(docs):
     def keys(t):
         return {p.strip(" ") for p in re.split(bloom_diff.PARAGRAPH_END, t or "")} - {""}
