@@ -6,6 +6,11 @@ linear machine for each two languages votes.  Inputs are the frequencies of
 hashed 1- to 3-byte grams of the lower-cased text.  All machines are linear in
 those frequencies, so a text is scored by summing one row of weights per gram.
 
+The machines only choose among the learned languages.  Whether a text is in
+any of them is told by a one-class distance: how far the mean log-likelihood of
+its grams under a language's learned gram means falls short of that language's
+median text.  Close relatives of a learned language are not told from it.
+
 The machines are fitted on a bounded sample: at most about SAMPLE labelled
 texts over all languages, chosen by the hash of doc_id in equal shares.
 """
@@ -26,6 +31,8 @@ from millrace.llm.textbytes import byte_ngrams, flat, segment_sum, slices
 SAMPLE = 2400
 BITS = 12
 GRAMS = (1, 2, 3)
+#: A text is in no learned language where it falls short of all by more than FAR nats a gram, and by FAR_SHORT / sqrt(grams) for short ones.
+FAR, FAR_SHORT = 1.5, 2.0
 
 # Language families by ISO 639-1 code; other codes are a family each.
 FAMILIES = {
@@ -51,12 +58,17 @@ def family_of(lang: str) -> str:
 
 @dataclass
 class Model:
-    """langs by family; columns of weights: one a family (where there are several), then one a pair of languages."""
+    """langs by family; columns of weights: one a family (where there are several), then one a pair of languages.
+
+    logs and typical have a column and a value a language: log gram means, and the median text's mean of them.
+    """
 
     families: list[list[str]]
     pairs: list[tuple[str, str]]
     weights: np.ndarray
     bias: np.ndarray
+    logs: np.ndarray
+    typical: np.ndarray
 
 
 def gram_sums(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +139,18 @@ def fit(langs: list[str], freq: np.ndarray) -> Model:
             pairs.append(p)
             add(rows, np.where(lang[rows] == p[0], 1.0, -1.0))
     weights = np.stack(columns, 1).astype(np.float32) if columns else np.zeros((1 << BITS, 0), np.float32)
-    return Model(families, pairs, weights, np.array(bias))
+    logs = [np.log(0.9 * freq[lang == c].mean(0) + 0.1 / (1 << BITS)) for c in known]
+    typical = np.array([np.median(freq[lang == c] @ p) for c, p in zip(known, logs, strict=True)])
+    logs = np.stack(logs, 1).astype(np.float32) if logs else np.zeros((1 << BITS, 0), np.float32)
+    return Model(families, pairs, weights, np.array(bias), logs, typical)
+
+
+def far(model: Model, likelihood: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether texts of n grams and these sums of log gram means, a column a language, are in no learned language."""
+    if not len(model.typical):
+        return np.ones(len(n), bool)
+    n = np.maximum(n, 1)
+    return (likelihood / n[:, None] - model.typical).max(1) < -(FAR + FAR_SHORT / np.sqrt(n))
 
 
 def decide(model: Model, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -172,34 +195,48 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([lang for lang, _ in rows], np.stack([np.frombuffer(f, np.float32) for _, f in rows]) if rows else np.zeros((0, 1 << BITS), np.float32))
 
 
-def _predict(shared):
+def _strange(model: Model, texts: pa.Array, likelihood: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """far(), where a text that is far is judged again without words of a digit or @, as numbers, keys and addresses have no language."""
+    out = far(model, likelihood, n)
+    again = np.flatnonzero(out)
+    plain = [" ".join(w for w in (texts[int(i)].as_py() or "").split() if "@" not in w and not any(c.isdigit() for c in w)) for i in again]
+    total, n = gram_sums(pa.array(plain, pa.string()), model.logs)
+    out[again] = far(model, total, n) | np.array([not any(c.isalpha() for c in t) for t in plain], bool)
+    return out
+
+
+def _predict(shared, reject: bool):
     def run(batches):
         model = shared.value
+        columns = model.weights.shape[1]
+        weights = np.hstack([model.weights, model.logs]) if reject else model.weights
         for batch in batches:
             for part in slices(batch, "text"):
-                total, n = gram_sums(part.column("text"), model.weights)
-                lang, score = decide(model, total / np.maximum(n, 1)[:, None] + model.bias)
+                total, n = gram_sums(part.column("text"), weights)
+                lang, score = decide(model, total[:, :columns] / np.maximum(n, 1)[:, None] + model.bias)
                 letters = part.column("letters").to_numpy(zero_copy_only=False)
+                if reject:
+                    letters = letters & ~_strange(model, part.column("text"), total[:, columns:], n)
                 lang = [a if b else "und" for a, b in zip(lang, letters, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0))], ["row", "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), reject: bool = False) -> DataFrame:
     """The kept columns of every row with lang_pred and score.
 
-    A null text, or one without a letter, gives und and a score of 0.  Equal
-    texts get equal results; an empty table gives an empty result.
+    A null text, or one without a letter, gives und and a score of 0; so does, with
+    reject, a text that is far from all learned languages.  Equal texts get equal results; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     packed = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    out = packed.mapInArrow(_predict(shared), f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    out = packed.mapInArrow(_predict(shared, reject), f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(*[F.col("row")[c].alias(c) for c in keep], "lang_pred", "score")
 
 
 def known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """docs without the rows that are und or that no family claims (score below least); columns as they are."""
-    found = identify(docs, model, tuple(docs.columns))
+    """docs without the rows that are und, far from all learned languages, or that no family claims (score below least, which needs three); columns as they are."""
+    found = identify(docs, model, tuple(docs.columns), reject=True)
     bad = (found["lang_pred"] == "und") | (found["score"] < least)
     return found.where(~bad).select(*docs.columns)

@@ -210,3 +210,14 @@ def test_learned_models(spark, docs):
     scored = quality_model.score(table, quality_model.train(table, labels), ("doc_id", "lang")).collect()
     assert sum((r["score"] >= 0.5) == (r["lang"] == "en") for r in scored) > 150
     assert quality_model.score(docs, quality_model.train(docs, labels.limit(0))).count() == len(ROWS)
+
+
+def test_known_language_rejects_with_two_families(spark):
+    parts = {"en": "thing the nder other with that", "de": "sch und ein lich keit nicht", "fr": "eau les oui que elle de", "es": "cion los que para ado con"}
+    rows = [(i, " ".join(parts[c].split()[(i + j * j + j) % 6] for j in range(40)), c) for i, c in enumerate(list(parts) * 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table)
+    assert len(model.families) == 2
+    odd = [(1000, "zxqj kjwq vvbx qqkz jxxw pqzv kkjx wqzz", None), (1001, "Все люди рождаются свободными и равными в своем достоинстве", None), (1002, "x 1 2 3 4 5 6 ||| ### $$$", None), (1003, None, None)]
+    more = table.union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    assert sorted(r["doc_id"] for r in langid.known_language(more, model).collect()) == [r[0] for r in rows]
