@@ -147,13 +147,13 @@ def _scan(n: int):
                 sketch[1] += np.bincount(cell(values), minlength=1 << SKETCH_BITS)
                 rows = len(at) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(at)), pa.array(set_ids(values, at), pa.binary()), pa.nulls(rows, pa.binary())],
-                    ["doc_id", "n_shingles", "set_id", "sketch"],
+                    [part.column("doc_id"), part.column("mark"), pa.array(np.diff(at)), pa.array(set_ids(values, at), pa.binary()), pa.nulls(rows, pa.binary())],
+                    ["doc_id", "mark", "n_shingles", "set_id", "sketch"],
                 )
         if sketch.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_pack(sketch)])],
-                ["doc_id", "n_shingles", "set_id", "sketch"],
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_pack(sketch)])],
+                ["doc_id", "mark", "n_shingles", "set_id", "sketch"],
             )
 
     return run
@@ -394,9 +394,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     if not Fraction(1, 2) < t <= 1:
         raise ValueError("the threshold must lie above 1/2 and not above 1")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = durable(docs.mapInArrow(_scan(words), "doc_id long, n_shingles long, set_id binary, sketch binary"), "scan")
-    rows = scan.where("sketch is null").select("doc_id", "n_shingles", "set_id")
+    # mark is the text's own digest: it leads from a set back to its text, whatever the doc_ids
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("mark"), "text")
+    scan = durable(docs.mapInArrow(_scan(words), "doc_id long, mark binary, n_shingles long, set_id binary, sketch binary"), "scan")
+    rows = scan.where("sketch is null").select("doc_id", "mark", "n_shingles", "set_id")
     sketch = spark.sparkContext.broadcast(_frequency_sketch(scan.where("sketch is not null").select("sketch")))
 
     index = durable(docs.mapInArrow(_index(words, t, sketch), "key long, set_id binary, size long"), "index")
@@ -412,8 +413,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     members = durable(found.join(kept, "key"), "members")
     discard(found)
 
-    wanted = members.select("set_id").distinct().join(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id")
-    texts = docs.join(wanted, "doc_id").dropDuplicates(["set_id"])
+    wanted = members.select("set_id").distinct().join(rows.where("set_id is not null").groupBy("set_id").agg(F.min("mark").alias("mark")), "set_id")
+    texts = docs.join(wanted, "mark").dropDuplicates(["set_id"])
     sets = durable(texts.select("set_id", "text").mapInArrow(_sets(words), "set_id binary, tokens binary, sign binary, print binary"), "sets")
 
     close = F.least("size", "rep.size") * den >= F.greatest("size", "rep.size") * num

@@ -51,6 +51,13 @@ def test_jaccard(docs, n, t):
     assert jaccard.jaccard_components(docs.limit(0), n, *t).count() == 0
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    a, b, c = prose(1, 80), prose(3, 80), prose(6, 80)
+    rows = [(None, a + " more"), (5, a), (7, b), (7, c), (9, b + " more"), (11, c + " more"), (None, prose(11, 90)), (None, prose(11, 90) + " more")]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in found) == Counter([(None, 5), (5, 5), (7, 7), (7, 7), (9, 7), (11, 7), (None, None), (None, None)])
+
+
 def test_block_links_join_all_labels():
     import numpy as np
     from fractions import Fraction
