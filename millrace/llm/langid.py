@@ -179,16 +179,20 @@ def decide(model: Model, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
     return list(out), 1 / (1 + np.exp(-2 * np.clip(sure, -20, 20)))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on (doc_id, text, lang) rows with a text and a language; at most about sample texts are taken."""
+def train(labelled: DataFrame, sample: int = SAMPLE, most_langs: int = 200) -> Model:
+    """Fit on (doc_id, text, lang) rows with a text and a language; at most about sample texts, or 20 a language, are taken.
+
+    All languages are learned; more than most_langs of them raise an error.
+    """
     labelled = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+    if len(counts) > most_langs:
+        raise ValueError(f"more than most_langs = {most_langs} languages")
     if not counts:
         return fit([], np.zeros((0, 1 << BITS), np.float32))
     each = max(20, sample // len(counts))
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(rate)
+    rates = F.map_from_arrays(F.lit(list(counts)), F.lit([min(1.0, each / n) for n in counts.values()]))
+    rate = F.try_element_at(rates, F.col("lang"))
     draw = F.xxhash64(F.lit("lang sample"), "doc_id").bitwiseAND((1 << 52) - 1) / float(1 << 52)
     rows = labelled.where(draw < rate).select("lang", "text").mapInArrow(_features, "lang string, freq binary").collect()
     rows = sorted((r["lang"], bytes(r["freq"])) for r in rows)

@@ -228,3 +228,13 @@ def test_known_language_rejects_with_two_families(spark):
     odd = [(1000, "zxqj kjwq vvbx qqkz jxxw pqzv kkjx wqzz", None), (1001, "Все люди рождаются свободными и равными в своем достоинстве", None), (1002, "x 1 2 3 4 5 6 ||| ### $$$", None), (1003, None, None)]
     more = table.union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
     assert sorted(r["doc_id"] for r in langid.known_language(more, model).collect()) == [r[0] for r in rows]
+
+
+def test_train_learns_all_languages_or_raises(spark):
+    table = spark.createDataFrame([(i, f"text {i}", f"l{i:03d}") for i in range(201)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.train(table)
+    few = table.where("doc_id < 3")
+    with pytest.raises(ValueError):
+        langid.train(few, most_langs=2)
+    assert langid.train(few, most_langs=3).families == [["l000"], ["l001"], ["l002"]]
