@@ -22,15 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.textbytes import byte_ngrams, flat, segment_sum, slices
+from millrace.llm.textbytes import STEP_BYTES, byte_ngrams, flat, gram_sums, slices
 
 #: Labelled texts in the training sample, over all languages.
 SAMPLE = 2400
 BITS = 12
 GRAMS = (1, 2, 3)
+#: Units that a weight of 1 has.
+UNIT = 1 << 20
 #: A text is in no learned language where it falls short of all by more than FAR nats a gram, and by FAR_SHORT / sqrt(grams) for short ones.
 FAR, FAR_SHORT = 1.5, 2.0
 
@@ -58,7 +61,7 @@ def family_of(lang: str) -> str:
 
 @dataclass
 class Model:
-    """langs by family; columns of weights: one a family (where there are several), then one a pair of languages.
+    """langs by family; columns of weights, in units: one a family (where there are several), then one a pair of languages.
 
     logs and typical have a column and a value a language: log gram means, and the median text's mean of them.
     """
@@ -71,25 +74,36 @@ class Model:
     typical: np.ndarray
 
 
-def gram_sums(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the lower-cased texts."""
+    return flat(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")))
+
+
+def summed(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sums of each text's weight rows over its grams, number of its grams)."""
-    lowered = pa.array([(t or "").lower() for t in texts.to_pylist()], pa.large_string())
-    data, offsets = flat(lowered)
-    total, n = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts), np.int64)
+    data, offsets = lowered(texts)
+    total, n = np.zeros((len(texts), weights.shape[1]), np.int64), np.zeros(len(texts), np.int64)
     for k in GRAMS:
-        bucket, at = byte_ngrams(data, offsets, k, BITS)
-        total += segment_sum(weights[bucket].astype(np.float64), at)
-        n += np.diff(at)
-    return total, n
+        more, grams = gram_sums(data, offsets, k, BITS, weights)
+        total += more
+        n += grams
+    return total / UNIT, n
 
 
 def gram_counts(text: str) -> np.ndarray:
     """Frequencies of one text's gram buckets."""
-    data, offsets = flat(pa.array([text.lower()], pa.large_string()))
-    counts = np.zeros(1 << BITS, np.float32)
+    data, _ = lowered(pa.array([text], pa.large_string()))
+    counts = np.zeros(1 << BITS, np.int64)
     for k in GRAMS:
-        counts += np.bincount(byte_ngrams(data, offsets, k, BITS)[0], minlength=len(counts)).astype(np.float32)
-    return counts / max(counts.sum(), 1)
+        for a in range(0, len(data) - k + 1, STEP_BYTES):
+            part = data[a : a + STEP_BYTES + k - 1]
+            counts += np.bincount(byte_ngrams(part, np.array([0, len(part)]), k, BITS)[0], minlength=len(counts))
+    return (counts / max(counts.sum(), 1)).astype(np.float32)
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Weights in whole units, so that sums over grams are exact."""
+    return np.rint(np.clip(x, -1e6, 1e6) * UNIT).astype(np.int64)
 
 
 def _features(batches):
@@ -138,10 +152,10 @@ def fit(langs: list[str], freq: np.ndarray) -> Model:
             rows = np.flatnonzero(np.isin(lang, p))
             pairs.append(p)
             add(rows, np.where(lang[rows] == p[0], 1.0, -1.0))
-    weights = np.stack(columns, 1).astype(np.float32) if columns else np.zeros((1 << BITS, 0), np.float32)
+    weights = whole(np.stack(columns, 1)) if columns else np.zeros((1 << BITS, 0), np.int64)
     logs = [np.log(0.9 * freq[lang == c].mean(0) + 0.1 / (1 << BITS)) for c in known]
     typical = np.array([np.median(freq[lang == c] @ p) for c, p in zip(known, logs, strict=True)])
-    logs = np.stack(logs, 1).astype(np.float32) if logs else np.zeros((1 << BITS, 0), np.float32)
+    logs = whole(np.stack(logs, 1)) if logs else np.zeros((1 << BITS, 0), np.int64)
     return Model(families, pairs, weights, np.array(bias), logs, typical)
 
 
@@ -204,25 +218,30 @@ def _strange(model: Model, texts: pa.Array, likelihood: np.ndarray, n: np.ndarra
     out = far(model, likelihood, n)
     again = np.flatnonzero(out)
     plain = [" ".join(w for w in (texts[int(i)].as_py() or "").split() if "@" not in w and not any(c.isdigit() for c in w)) for i in again]
-    total, n = gram_sums(pa.array(plain, pa.string()), model.logs)
+    total, n = summed(pa.array(plain, pa.string()), model.logs)
     out[again] = far(model, total, n) | np.array([not any(c.isalpha() for c in t) for t in plain], bool)
     return out
 
 
+def judged(model: Model, weights: np.ndarray, texts: pa.Array, reject: bool) -> tuple[list[str], np.ndarray]:
+    """(languages, scores) of texts; weights are the machines' and, with reject, the log gram means beside them."""
+    columns = model.weights.shape[1]
+    total, n = summed(texts, weights)
+    lang, score = decide(model, total[:, :columns] / np.maximum(n, 1)[:, None] + model.bias)
+    known = pc.match_substring_regex(texts, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
+    if reject:
+        known = known & ~_strange(model, texts, total[:, columns:], n)
+    return [a if b else "und" for a, b in zip(lang, known, strict=True)], np.where(known, score, 0.0)
+
+
 def _predict(shared, reject: bool):
     def run(batches):
         model = shared.value
-        columns = model.weights.shape[1]
         weights = np.hstack([model.weights, model.logs]) if reject else model.weights
         for batch in batches:
             for part in slices(batch, "text"):
-                total, n = gram_sums(part.column("text"), weights)
-                lang, score = decide(model, total[:, :columns] / np.maximum(n, 1)[:, None] + model.bias)
-                letters = part.column("letters").to_numpy(zero_copy_only=False)
-                if reject:
-                    letters = letters & ~_strange(model, part.column("text"), total[:, columns:], n)
-                lang = [a if b else "und" for a, b in zip(lang, letters, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0))], ["row", "lang_pred", "score"])
+                lang, score = judged(model, weights, part.column("text"), reject)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(lang, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
     return run
 
@@ -234,13 +253,29 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     reject, a text that is far from all learned languages.  Equal texts get equal results; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    packed = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), "text")
     out = packed.mapInArrow(_predict(shared, reject), f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(*[F.col("row")[c].alias(c) for c in keep], "lang_pred", "score")
 
 
+def _known(shared, least: float):
+    def run(batches):
+        model = shared.value
+        weights = np.hstack([model.weights, model.logs])
+        for batch in batches:
+            for part in slices(batch, "text"):
+                lang, score = judged(model, weights, part.column("text"), True)
+                yield part.filter(pa.array([a != "und" and b >= least for a, b in zip(lang, score, strict=True)], pa.bool_()))
+
+    return run
+
+
 def known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """docs without the rows that are und, far from all learned languages, or that no family claims (score below least, which needs three); columns as they are."""
-    found = identify(docs, model, tuple(docs.columns), reject=True)
-    bad = (found["lang_pred"] == "und") | (found["score"] < least)
-    return found.where(~bad).select(*docs.columns)
+    """docs without the rows that are und, far from all learned languages, or that no family claims (score below least, which needs three); columns as they are.
+
+    A null text, or one without a letter, goes; rows with equal texts stay or go
+    together; a model that has learned nothing keeps nothing.  An empty table
+    gives an empty result.  Every row travels once, whatever its columns.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_known(shared, least), docs.schema)

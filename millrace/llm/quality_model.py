@@ -19,23 +19,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.textbytes import byte_ngrams, flat, mix64, segment_sum, slices, word_hashes
+from millrace.llm.textbytes import byte_ngrams, flat, gram_sums, mix64, segment_sum, slices, word_hashes
 
 SAMPLE = 3000
 BITS = 15
 GRAMS = (2, 3, 4)
 DIM = 8
+#: Units that a weight of 1 has: sums of whole numbers don't depend on a text's place.
+UNIT = 1 << 20
 
 
 @dataclass
 class Model:
-    odds: np.ndarray  # each bucket's part of the log-odds
+    odds: np.ndarray  # each bucket's part of the log-odds, in units of 1 / UNIT
     bias: float
 
 
-def features(texts: pa.Array):
-    """For each kind of feature: (buckets of all texts, where each text's begin)."""
-    data, offsets = flat(texts)
+def word_features(data: np.ndarray, offsets: np.ndarray):
+    """(buckets, where each text's begin) of words, then of pairs of neighbours."""
     words, first = word_hashes(data, offsets)
     yield (words >> np.uint64(64 - BITS)).astype(np.int64), first
     # a pair hashes by the difference of its words, so all repeats of a word share one bucket
@@ -44,10 +45,30 @@ def features(texts: pa.Array):
     inside = np.ones(len(words), bool)
     inside[first[:-1][first[:-1] < len(words)]] = False
     yield (mix64(pairs[inside] + np.uint64(1)) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([[0], np.cumsum(inside)])[first]
+
+
+def features(texts: pa.Array):
+    """For each kind of feature: (buckets of all texts, where each text's begin)."""
+    data, offsets = flat(texts)
+    yield from word_features(data, offsets)
     for n in GRAMS:
         yield byte_ngrams(data, offsets, n, BITS)
 
 
+def log_odds(texts: pa.Array, model: Model) -> np.ndarray:
+    """Each text's log-odds for label 1."""
+    data, offsets = flat(texts)
+    total, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for bucket, at in word_features(data, offsets):
+        total += segment_sum(model.odds[bucket], at)
+        n += np.diff(at)
+    for k in GRAMS:
+        more, grams = gram_sums(data, offsets, k, BITS, model.odds[:, None])
+        total += more[:, 0]
+        n += grams
+    return total / UNIT / np.maximum(n, 1) + model.bias
+
+
 def _sample_features(batches):
     for batch in batches:
         for part in slices(batch, "text"):
@@ -68,7 +89,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate:
     labels = np.array([r[0] for r in rows])
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+        return Model(np.zeros(1 << BITS, np.int64), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -93,7 +114,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate:
             for d in range(DIM):
                 vectors[:, d] -= np.bincount(index, step[:, d], 1 << BITS).astype(np.float32)
             steps += 1
-    return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return Model(np.rint(vectors @ (out[:, 1] - out[:, 0]).astype(np.float64) * UNIT).astype(np.int64), float(bias[1] - bias[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -121,11 +142,7 @@ def _score(shared):
         model = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                total, n = np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
-                for bucket, at in features(part.column("text")):
-                    total += segment_sum(model.odds[bucket].astype(np.float64), at)
-                    n += np.diff(at)
-                odds = total / np.maximum(n, 1) + model.bias
+                odds = log_odds(part.column("text"), model)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))))], ["row", "score"])
 
     return run

@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled by one numpy pass; one longer text makes its own pass.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that go through a function at once; one longer text goes alone.
+SLICE_BYTES = 1 << 20
+#: Bytes that one numpy pass widens to words of 8 bytes; longer texts are cut inside.
+STEP_BYTES = 1 << 18
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -62,19 +64,31 @@ def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and for each text the index of its first word (one entry more)."""
+def _steps(data: np.ndarray) -> list[int]:
+    """Places that cut data into steps of about STEP_BYTES, never inside a word."""
+    ends = [0]
+    while len(data) - ends[-1] > STEP_BYTES:
+        at = ends[-1] + STEP_BYTES
+        while at < len(data):
+            blanks = np.flatnonzero(is_space(data[at : at + STEP_BYTES]))
+            if len(blanks):
+                at += int(blanks[0])
+                break
+            at += STEP_BYTES
+        ends.append(min(at, len(data)))
+    return ends if ends[-1] == len(data) else [*ends, len(data)]
+
+
+def _hash_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places of first bytes) of the words of one step; words also end at bounds."""
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     word = ~is_space(data)
     first = word.copy()
     first[1:] &= ~word[:-1]
-    inner = offsets[(offsets > 0) & (offsets < n)]
-    first[inner] = word[inner]
+    first[bounds] = word[bounds]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), starts
     begin = np.zeros(n, np.int64)
     begin[starts] = starts
     np.maximum.accumulate(begin, out=begin)
@@ -82,7 +96,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64))
         value = np.where(word, _BYTE[data] * power[place], np.uint64(0))
-        return mix64(np.add.reduceat(value, starts)), np.searchsorted(starts, offsets)
+        return mix64(np.add.reduceat(value, starts)), starts
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and for each text the index of its first word (one entry more)."""
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    ends = _steps(data)
+    for a, b in zip(ends, ends[1:], strict=False):
+        inner = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b)]
+        h, at = _hash_words(data[a:b], inner - a)
+        hashes.append(h)
+        starts.append(at + a)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,20 +153,49 @@ def segment_sum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def byte_ngrams(data: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets (below 2**bits) of the n-byte grams inside each text, and each text's first gram (one entry more)."""
-    lengths = np.diff(offsets)
-    made = np.maximum(lengths - n + 1, 0)
-    at = np.concatenate([[0], np.cumsum(made)])
-    if not at[-1]:
-        return np.zeros(0, np.int64), at
-    text = np.repeat(np.arange(len(lengths)), made)
-    start = offsets[:-1][text] + np.arange(int(at[-1])) - at[:-1][text]
-    h = np.full(len(start), np.uint32(2166136261 ^ n), np.uint32)
+def _gram_buckets(data: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Buckets (below 2**bits) of the n bytes at every place that has so many after it."""
+    size = len(data) - n + 1
+    h = np.full(max(size, 0), np.uint32(2166136261 ^ n), np.uint32)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            h = (h ^ data[start + k]) * np.uint32(16777619)
+        for k in range(n if size > 0 else 0):
+            h = (h ^ data[k : k + size]) * np.uint32(16777619)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(12)
-    return (h & np.uint32((1 << bits) - 1)).astype(np.int64), at
+    return (h & np.uint32((1 << bits) - 1)).astype(np.int64)
+
+
+def byte_ngrams(data: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-byte grams inside each text, and each text's first gram (one entry more)."""
+    made = np.maximum(np.diff(offsets) - n + 1, 0)
+    at = np.concatenate([[0], np.cumsum(made)])
+    start = np.repeat(offsets[:-1] - at[:-1], made) + np.arange(int(at[-1]))
+    return _gram_buckets(data, n, bits)[start] if len(start) else np.zeros(0, np.int64), at
+
+
+def gram_sums(data: np.ndarray, offsets: np.ndarray, n: int, bits: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of each text's weight rows over its n-byte grams, number of its grams).
+
+    weights are whole numbers, 2**bits rows of them, so a sum does not depend on
+    where a text stands.  Texts are read in steps, long ones cut inside, and one
+    column at a time: memory grows with the step, not with the text.
+    """
+    out = np.zeros((len(offsets) - 1, weights.shape[1]), np.int64)
+    columns = [np.append(w, 0).astype(np.int64) for w in weights.T]
+    for a in range(0, len(data) - n + 1, STEP_BYTES):
+        b = min(a + STEP_BYTES, len(data) - n + 1)
+        bucket = _gram_buckets(data[a : b + n - 1], n, bits)
+        # grams that would run over a text's end count as the last, empty row
+        ends = offsets[1:][(offsets[1:] > a) & (offsets[1:] < b + n - 1)] - a
+        for k in range(1, n):
+            over = ends - k
+            bucket[over[(over >= 0) & (over < b - a)]] = 1 << bits
+        # texts with bytes in the step
+        low = int(np.searchsorted(offsets, a, "right")) - 1
+        high = int(np.searchsorted(offsets, b))
+        own = low + np.flatnonzero(np.diff(offsets[low : high + 1]))
+        begin = np.maximum(offsets[own] - a, 0)
+        for j, column in enumerate(columns):
+            out[own, j] += np.add.reduceat(column[bucket], begin)
+    return out, np.maximum(np.diff(offsets) - n + 1, 0)
