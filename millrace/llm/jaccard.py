@@ -1,26 +1,24 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A text's tokens are its distinct word shingles.  Tokens have one global order:
-first by frequency class, then by hash.  A token's class is the binary
-logarithm of how often chance would give it, from the frequencies of its words,
-or of how far its cell in a sketch of all shingles stands above the mean cell,
-whichever is greater; both sketches count whole texts of all documents.  For a threshold t, a set of s tokens has
-the k-extended prefix of its first ``s - ceil(t*s) + k`` tokens; two sets that
-reach t share at least k tokens inside both prefixes.  With k = 2 that gives
-the index: a prefix token of the rare class is a key by itself, and every pair
-of prefix tokens of frequent classes is a key.  A pair of texts that reaches t
-therefore always shares a key.  The class only steers cost: any assignment of
-classes gives the same links.  Sets larger than LARGE tokens, whose prefixes
-would give too many pairs, use single keys for all tokens of the plain prefix;
-sets near LARGE use both, so no pair of sizes falls between.
+rare ones first, by the sum of the logarithms of their words' counts, then the
+frequent ones.  Frequent are the tokens whose cell in a sketch of all shingles
+stands above what chance fills; both sketches count whole texts of all
+documents.  For a threshold t, two sets that link and share a rare token share
+one in both plain prefixes (the first ``s - need + 1`` tokens), so rare tokens
+of the prefix are keys by themselves.  If they share frequent tokens only, the
+prefix is extended until two shared tokens must be neighbours in both orders:
+there each two neighbouring frequent tokens together are a key.  A pair that
+reaches t therefore always shares a key; the classes only steer cost, and any
+assignment of them gives the same links.
 
 Candidates are then verified on the whole sets.  No stage emits all pairs of a
-key's texts: equal sets are one node; keys with the same nodes count once; each
-node is first compared with the least node of its key, and only keys whose
-nodes still lie in several components go on.  There each node is compared with
-the likeliest node of another component; what is still open after that is
-compared whole, by blocks inside one task, and only links that join components
-come out.
+key's texts: equal sets are one node; each node is first compared with the
+first node of its key, and only keys whose nodes still lie in several
+components go on, those with the same nodes once.  There each node is compared
+with the likeliest node of another component, and what is apart after that is
+compared exhaustively: a key's nodes in blocks, every two blocks in one task,
+and only links that join components come out.
 Before whole sets travel, short forms of them do: first a signature, a set's
 tokens counted by hash in SIGNATURE cells, then a print, the last 16 bits of each
 token.  The sum of the lesser counts of two short forms bounds the intersection
@@ -29,6 +27,7 @@ from above, so what it rules out can't be a link.
 
 from __future__ import annotations
 
+import math
 import zlib
 from fractions import Fraction
 
@@ -42,16 +41,16 @@ from millrace.llm.textbytes import distinct_sets, flat, lower_ascii, mix64, shin
 
 #: Cells of the frequency sketch: its size is fixed, whatever the corpus.
 SKETCH_BITS = 18
-#: Sets with more tokens index single tokens only.
-LARGE = 256
-#: Nodes of a key compared at once; larger keys are cut into blocks of so many.
-BLOCK = 512
-#: Highest class of a token that is a key by itself: chance gives it to two texts or fewer.
-RARE = 1
+#: Nodes of a key that one task compares at once.
+BLOCK = 1024
+#: Least threshold at which two sets that share frequent tokens only must share two neighbours.
+_PAIRS_FROM = Fraction(3, 4)
 #: Cells of a signature, a byte each.
 SIGNATURE = 256
 #: Sketches summed by one task of the reduction tree.
 FAN_IN = 64
+#: Above all sums of logarithms.
+_OFTEN = np.int64(1 << 40)
 
 
 def cell(hashes: np.ndarray) -> np.ndarray:
@@ -68,23 +67,30 @@ def text_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct_sets(*shingle_hashes(*text_words(texts), n))
 
 
-def classed_sets(texts: pa.Array, n: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """text_sets() and each token's frequency class; 0 or less is rare."""
+def rarity(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(binary logarithm of each word cell's count in whole 1/256ths, levels of the shingle cells that stand above what chance fills: 0 for the others)."""
+    by_word, by_shingle = sketch
+    mean = int(by_shingle.sum()) // len(by_shingle)
+    floor = mean + 4 * math.isqrt(mean) + 8
+    return np.rint(256 * np.log2(by_word + 1.0)).astype(np.int32), np.ceil(np.log2(by_shingle // floor + 1.0)).astype(np.int32)
+
+
+def ranked_sets(texts: pa.Array, n: int, by_word: np.ndarray, by_shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text_sets() and each token's place in the order: first tokens by the sum of their words' logarithms, then those that are often met, by level.
+
+    All of it is whole numbers, so equal shingles get the same place in every text.
+    """
     words, first = text_words(texts)
     values, at = shingle_hashes(words, first, n)
-    by_word, by_shingle = sketch
-    share = np.log2(np.maximum(by_word[cell(words)], 1) / max(by_word.sum(), 1))
-    total = np.concatenate([[0.0], np.cumsum(share)])
+    total = np.concatenate([[0], np.cumsum(by_word[cell(words)], dtype=np.int64)])
     counts = np.diff(at)
     have = np.repeat(np.minimum(np.diff(first), n), counts)
     start = np.repeat(first[:-1] - at[:-1], counts) + np.arange(len(values))
-    # rounded sums, so that the same words give the same class wherever they stand
-    chance = np.floor(np.round(total[start + have] - total[start], 6) + np.log2(max(by_word.sum(), 1)))
-    above = np.floor(np.log2(np.maximum(by_shingle[cell(values)], 1) / (2 * by_shingle.mean() + 64))) + 1
-    level = np.maximum(np.where(above > 0, above, -60), np.maximum(chance, -60)).astype(np.int64)
+    often = by_shingle[cell(values)]
+    chance = np.where(often > 0, _OFTEN + often, total[start + have] - total[start])
     owner = np.repeat(np.arange(len(at) - 1), counts)
     order = np.lexsort((values, owner))
-    v, o, c = values[order], owner[order], level[order]
+    v, o, c = values[order], owner[order], chance[order]
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
     return v[new], np.searchsorted(o[new], np.arange(len(at))), c[new]
@@ -106,26 +112,30 @@ def need(size: int, t: Fraction) -> int:
     return -(-size * t.numerator // t.denominator)
 
 
-def prefix_keys(tokens: np.ndarray, level: np.ndarray, t: Fraction) -> np.ndarray:
-    """Index keys of one set; level holds the frequency class of each token."""
+def prefix_keys(tokens: np.ndarray, place: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of one set, and whether each is of a pair; place orders the tokens, the frequent ones from _OFTEN on.
+
+    Two sets that link and share a rare token share it in both plain prefixes,
+    the first s - need + 1 tokens.  If all that they share is frequent, their
+    rare tokens (r) are their own, and at most s * (1 - t) / t - r frequent
+    tokens of both sets together are not shared.  Each of those parts two
+    shared neighbours at most, so two shared tokens are next to each other in
+    both orders no later than the prefix is extended here.
+    """
     s = len(tokens)
     least = need(s, t)
-    if s < 2 or least < 2:
-        return tokens[:0] if least >= s else tokens
-    order = np.lexsort((tokens, level))
-    keys = []
-    if s * t.numerator <= LARGE * t.denominator:
-        head = order[: s - least + 2]
-        rare = level[head] <= RARE
-        keys.append(tokens[head[rare]])
-        often = np.sort(tokens[head[~rare]])
-        if len(often) > 1:
-            i, j = np.triu_indices(len(often), 1)
-            with np.errstate(over="ignore"):
-                keys.append(mix64(often[i] * np.uint64(0x9FB21C651E98DF25) + mix64(often[j])))
-    if s * t.denominator >= LARGE * t.numerator:
-        keys.append(mix64(tokens[order[: s - least + 1]] + np.uint64(77)))
-    return np.unique(np.concatenate(keys))
+    if s < 2:  # t lies above 1/2, so it links to equal sets only
+        return tokens[:0], np.zeros(0, bool)
+    order = np.lexsort((tokens, place))
+    rare = int((place < _OFTEN).sum()) if t >= _PAIRS_FROM else s
+    single = tokens[order[: min(s - least + 1, rare)]]
+    own, both = s - least - rare, s * (t.denominator - t.numerator) // t.numerator - rare
+    if own < 0:
+        return single, np.zeros(len(single), bool)
+    often = tokens[order[rare : rare + own + both + 2]]
+    with np.errstate(over="ignore"):
+        pairs = mix64(often[:-1] * np.uint64(0x9FB21C651E98DF25) + mix64(often[1:]))
+    return np.concatenate([single, pairs]), np.arange(len(single) + len(pairs)) >= len(single)
 
 
 def _pack(sketch: np.ndarray) -> bytes:
@@ -170,30 +180,30 @@ def _sum_sketches(batches):
 
 def _frequency_sketch(blobs: DataFrame) -> np.ndarray:
     """Sums the tasks' sketches in a tree; the result has 2 * 2**SKETCH_BITS cells at every corpus size."""
-    parts = blobs.count()
+    parts, passed = blobs.count(), []
     while parts > 1:
         parts = -(-parts // FAN_IN)
         blobs = durable(blobs.repartition(parts).mapInArrow(_sum_sketches, "sketch binary"), "sketch")
+        passed.append(blobs)
     rows = blobs.collect()
+    for x in passed:
+        discard(x)
     return _unpack(rows[0][0]) if rows else np.zeros((2, 1 << SKETCH_BITS), np.int64)
 
 
 def _index(n: int, t: Fraction, sketch):
     def run(batches):
-        counts = sketch.value
+        by_word, by_shingle = sketch.value
         for batch in batches:
             for part in slices(batch, "text"):
-                values, at, level = classed_sets(part.column("text"), n, counts)
+                values, at, place = ranked_sets(part.column("text"), n, by_word, by_shingle)
                 ids = set_ids(values, at)
-                keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for i in range(len(at) - 1):
-                    own = prefix_keys(values[at[i] : at[i + 1]], level[at[i] : at[i + 1]], t)
-                    keys.append(own)
-                    owners.append(np.full(len(own), i))
-                owner = np.concatenate(owners)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids, pa.binary()).take(pa.array(owner)), pa.array(np.diff(at)[owner])], ["key", "set_id", "size"]
-                )
+                own = [prefix_keys(values[at[i] : at[i + 1]], place[at[i] : at[i + 1]], t) for i in range(len(at) - 1)]
+                owner = np.repeat(np.arange(len(own)), [len(x) for x, _ in own])
+                keys = np.concatenate([np.zeros(0, np.uint64), *[x for x, _ in own]]).view(np.int64)
+                # the last bit tells keys of pairs from those of single tokens
+                keys = (keys & ~np.int64(1)) | np.concatenate([np.zeros(0, bool), *[x for _, x in own]])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids, pa.binary()).take(pa.array(owner))], ["key", "set_id"])
 
     return run
 
@@ -242,12 +252,12 @@ def _possible(t: Fraction):
     return run
 
 
-def likely_partners(signs: np.ndarray, known: np.ndarray, labels: np.ndarray, home: np.ndarray, t: Fraction) -> np.ndarray:
+def likely_partners(signs: np.ndarray, known: np.ndarray, labels: np.ndarray, t: Fraction) -> np.ndarray:
     """For each row of a block the row of another label that their signatures make likeliest, or -1 where they rule all out."""
     size = signs.sum(1, dtype=np.int64)
     out = np.full(len(size), -1)
     for i in range(len(size)):
-        other = np.flatnonzero((labels != labels[i]) & (home | home[i]))
+        other = np.flatnonzero(labels != labels[i])
         both = np.minimum(signs[i], signs[other]).sum(1, dtype=np.int64)
         open_to = reaches(both, size[i], size[other], t) | ~known[other] | ~known[i]
         if open_to.any():
@@ -256,17 +266,18 @@ def likely_partners(signs: np.ndarray, known: np.ndarray, labels: np.ndarray, ho
     return out
 
 
-_NARROW = "key long, block long, set_id binary, label binary, home boolean, partner binary"
+def _codes(column) -> np.ndarray:
+    return np.unique(np.array(column.to_pylist(), object), return_inverse=True)[1]
 
 
-def _narrow(t: Fraction):
+def _guess(t: Fraction):
+    """For each row of a block its likeliest link to another component."""
+
     def run(group):
         signs, known = _signatures(group.column("sign"))
-        labels = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
-        partner = likely_partners(signs, known, labels, group.column("home").to_numpy(zero_copy_only=False), t)
+        partner = likely_partners(signs, known, _codes(group.column("label")), t)
         ids = group.column("set_id").combine_chunks()
-        near = ids.take(pa.array(np.maximum(partner, 0)))
-        return group.select(["key", "block", "set_id", "label", "home"]).append_column("partner", near).filter(pa.array(partner >= 0))
+        return pa.table({"x": ids, "y": ids.take(pa.array(np.maximum(partner, 0)))}).filter(pa.array(partner >= 0))
 
     return run
 
@@ -303,8 +314,8 @@ def overlaps(sets: list[np.ndarray], t: Fraction):
             yield rows, j, left[:, at].sum(1).astype(np.int64)
 
 
-def block_links(ids: list[bytes], labels: list[bytes], sets: list[np.ndarray], home: np.ndarray, t: Fraction) -> list[tuple[bytes, bytes]]:
-    """Links between nodes of different labels, one for each two labels that they join; home: rows that are no guests."""
+def block_links(ids: list[bytes], labels: list[bytes], sets: list[np.ndarray], side: np.ndarray, t: Fraction) -> list[tuple[bytes, bytes]]:
+    """Links between nodes of different labels, one for each two labels that they join; where side has both 0 and 1, from one to the other only."""
     parent: dict[bytes, bytes] = {}
 
     def root(x: bytes) -> bytes:
@@ -312,12 +323,12 @@ def block_links(ids: list[bytes], labels: list[bytes], sets: list[np.ndarray], h
             x = parent[x]
         return x
 
-    sizes = np.array([len(s) for s in sets])
+    sizes, two = np.array([len(s) for s in sets]), len(set(side.tolist())) > 1
     out: list[tuple[bytes, bytes]] = []
     for rows, j, both in overlaps(sets, t):
         for k in np.flatnonzero(reaches(both, sizes[rows], sizes[j], t)):
             i = rows[k]
-            if i != j and (home[i] or home[j]):
+            if i != j and not (two and side[i] == side[j]):
                 a, b = root(labels[i]), root(labels[j])
                 if a != b:
                     parent[max(a, b)] = min(a, b)
@@ -331,55 +342,69 @@ def counted(short: np.ndarray) -> np.ndarray:
     return np.sort((place.astype(np.uint64) << np.uint64(16)) | short)
 
 
-def open_by_print(prints: list[np.ndarray], labels: np.ndarray, home: np.ndarray, t: Fraction) -> np.ndarray:
+def open_by_print(prints: list[np.ndarray], labels: np.ndarray, side: np.ndarray, t: Fraction) -> np.ndarray:
     """Rows of a block that may link to a row of another label, by their prints."""
-    sizes, keep = np.array([len(x) for x in prints]), np.zeros(len(prints), bool)
+    sizes, keep, two = np.array([len(x) for x in prints]), np.zeros(len(prints), bool), len(set(side.tolist())) > 1
     for rows, j, both in overlaps([counted(x) for x in prints], t):
-        hit = reaches(both, sizes[rows], sizes[j], t) & (labels[rows] != labels[j]) & (home[rows] | home[j])
+        hit = reaches(both, sizes[rows], sizes[j], t) & (labels[rows] != labels[j])
+        if two:
+            hit &= side[rows] != side[j]
         keep[rows[hit]] = True
         keep[j] |= hit.any()
     return keep
 
 
-def _narrow_again(t: Fraction):
+def _narrow(t: Fraction):
+    """Drops rows that no row of another label can link to: first by signatures, then by prints."""
+
     def run(group):
-        labels = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
+        codes, side = _codes(group.column("label")), group.column("side").to_numpy()
         prints = [np.frombuffer(x, np.uint16) for x in group.column("print").to_pylist()]
-        keep = open_by_print(prints, labels, group.column("home").to_numpy(zero_copy_only=False), t)
-        return group.select(["key", "block", "set_id", "label", "home"]).filter(pa.array(keep, pa.bool_()))
+        return group.select(["tile", "set_id", "label", "side"]).filter(pa.array(open_by_print(prints, codes, side, t), pa.bool_()))
 
     return run
 
 
 def _resolve(t: Fraction):
     def run(group):
-        ids, labels = group.column("set_id").to_pylist(), group.column("label").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
-        links = block_links(ids, labels, sets, group.column("home").to_numpy(zero_copy_only=False), t)
+        links = block_links(group.column("set_id").to_pylist(), group.column("label").to_pylist(), sets, group.column("side").to_numpy(), t)
         return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
     return run
 
 
-def still_open(placed: DataFrame, links: DataFrame, signs: DataFrame, t: Fraction) -> DataFrame:
-    """The (key, set_id) rows of placed, by blocks, that may link to a node of another component, with the likeliest one."""
-    labels = components(links).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
-    named = durable(placed.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "named")
-    by_label = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-    spread = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most"), F.sum("size").alias("all"))
-    spread = spread.where("labels > 1").withColumn("blocks", F.ceil(F.col("all") / BLOCK))
-    own = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
-    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    rows = named.join(spread.select("key", "most", "blocks"), "key").select(
-        "key", "set_id", "label", F.explode(F.when(F.col("label") == F.col("most"), F.array(own)).otherwise(everywhere)).alias("block"), own.alias("own")
-    )
-    rows = rows.join(signs, "set_id").select("key", "block", "set_id", "label", (F.col("block") == F.col("own")).alias("home"), "sign")
-    out = durable(rows.groupBy("key", "block").applyInArrow(_narrow(t), _NARROW), "narrow")
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(set_id, label) after more links: only the labels that they join are worked on."""
+    of = lambda c: labels.select(F.col("set_id").alias(c), F.col("label").alias(f"{c}_label"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = components(named.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))).toDF("label", "new")
+    # a node without a label so far is its own label
+    alone = joined.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("set_id"), F.col("new").alias("label"))
+    old = labels.join(joined, "label", "left").select("set_id", F.coalesce("new", "label").alias("label"))
+    return durable(old.unionByName(alone), "labels")
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, set_id, label, n) of the keys whose nodes lie in several components; n counts a key's nodes.  Keys with the same nodes count once."""
+    named = durable(members.join(labels, "set_id", "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label")), "named")
+    keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.hash("set_id").cast("long")).alias("y"))
+    once = keys.where("low <> high").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    out = durable(named.join(once, "key"), "apart")
     discard(named)
     return out
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def _tiles(apart: DataFrame) -> DataFrame:
+    """(tile, set_id, label, side): a key's nodes in blocks of about BLOCK, every two blocks of a key in one tile, each block also by itself."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64(F.lit(3), "set_id"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    each = apart.select("key", "set_id", "label", own.alias("own"), F.explode(pairs).alias("p"))
+    return each.select(F.struct("key", "p.i", "p.j").alias("tile"), "set_id", "label", (F.col("own") != F.col("p.i")).cast("int").alias("side"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, stats: dict | None = None) -> DataFrame:
     """Connected components of the texts whose shingle sets have a Jaccard similarity of num/den or more.
 
     docs needs doc_id (long) and text; other columns are ignored.  Returns one
@@ -388,7 +413,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     an empty set and is alone: its component_id is its doc_id.  Rows with equal
     texts, or the same doc_id twice, each get their row.  A null doc_id is
     allowed; it is a component_id only where a component has no other.  An
-    empty table gives an empty result.  num/den must lie above 1/2.
+    empty table gives an empty result.  num/den must lie above 1/2.  stats, if
+    given, gets the numbers of keys of single tokens and of pairs that several
+    sets have, and of those that the exhaustive comparison got.
     """
     t = Fraction(num, den)
     if not Fraction(1, 2) < t <= 1:
@@ -398,71 +425,59 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("mark"), "text")
     scan = durable(docs.mapInArrow(_scan(words), "doc_id long, mark binary, n_shingles long, set_id binary, sketch binary"), "scan")
     rows = scan.where("sketch is null").select("doc_id", "mark", "n_shingles", "set_id")
-    sketch = spark.sparkContext.broadcast(_frequency_sketch(scan.where("sketch is not null").select("sketch")))
+    sketch = spark.sparkContext.broadcast(rarity(_frequency_sketch(scan.where("sketch is not null").select("sketch"))))
 
-    index = durable(docs.mapInArrow(_index(words, t, sketch), "key long, set_id binary, size long"), "index")
+    index = durable(docs.mapInArrow(_index(words, t, sketch), "key long, set_id binary"), "index")
     mark = F.xxhash64("set_id")
     shared = index.groupBy("key").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a < b").select("key")
-    found = durable(index.join(shared, "key").distinct(), "found")
+    members = durable(index.join(shared, "key").distinct(), "members")
     discard(index)
-    buckets = found.groupBy("key").agg(
-        F.count("*").alias("n"), F.min(F.struct("set_id", "size")).alias("rep"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.hash("set_id").cast("long")).alias("y")
-    )
-    # keys with the same nodes count once
-    kept = buckets.groupBy("n", "rep", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "rep")
-    members = durable(found.join(kept, "key"), "members")
-    discard(found)
 
     wanted = members.select("set_id").distinct().join(rows.where("set_id is not null").groupBy("set_id").agg(F.min("mark").alias("mark")), "set_id")
     texts = docs.join(wanted, "mark").dropDuplicates(["set_id"])
     sets = durable(texts.select("set_id", "text").mapInArrow(_sets(words), "set_id binary, tokens binary, sign binary, print binary"), "sets")
-
-    close = F.least("size", "rep.size") * den >= F.greatest("size", "rep.size") * num
-    star = members.where((F.col("set_id") != F.col("rep.set_id")) & close).select(F.col("set_id").alias("x"), F.col("rep.set_id").alias("y")).distinct()
-    star = star.join(sets.select(F.col("set_id").alias("x"), F.col("sign").alias("x_sign")), "x").join(sets.select(F.col("set_id").alias("y"), F.col("sign").alias("y_sign")), "y")
-    star = durable(star.mapInArrow(_possible(t), "x binary, y binary"), "star")
-    tokens = sets.select("set_id", "tokens")
+    tokens, signs = sets.select("set_id", "tokens"), sets.select("set_id", "sign")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(tokens.toDF("x", "x_tokens"), "x").join(tokens.toDF("y", "y_tokens"), "y")
-        return durable(both.mapInArrow(_verify(t), "a binary, b binary"), "near")
-
-    near = verified(star)
-    placed = durable(members.where("n > 2").select("key", "set_id"), "placed")
-    signs = sets.select("set_id", "sign")
-    narrow = still_open(placed, near, signs, t)
-    guess = narrow.select(F.least("set_id", "partner").alias("x"), F.greatest("set_id", "partner").alias("y")).distinct()
-    found = verified(guess)
-    grown = durable(near.unionByName(found), "links")
-    for x in (near, found):
+        """Links among pairs (x, y): signatures are compared first, whole sets after that."""
+        first = pairs.join(signs.toDF("x", "x_sign"), "x").join(signs.toDF("y", "y_sign"), "y").mapInArrow(_possible(t), "x binary, y binary")
+        both = durable(first, "possible")
+        out = durable(both.join(tokens.toDF("x", "x_tokens"), "x").join(tokens.toDF("y", "y_tokens"), "y").mapInArrow(_verify(t), "a binary, b binary"), "near")
+        discard(both)
+        return out
+
+    # each node with the first node of its keys
+    reps = members.groupBy("key").agg(F.min("set_id").alias("y"))
+    star = verified(members.join(reps, "key").where("set_id <> y").select(F.col("set_id").alias("x"), "y").distinct())
+    labels = durable(components(star).toDF("set_id", "label"), "labels")
+    discard(star)
+    # in the keys that are still apart, each node with its likeliest link to another component
+    apart = _apart(members, labels)
+    block = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / BLOCK))
+    dealt = apart.select("key", block.alias("block"), "set_id", "label").join(signs, "set_id")
+    guesses = durable(dealt.groupBy("key", "block").applyInArrow(_guess(t), "x binary, y binary"), "guess")
+    found = verified(guesses.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    grown = _relabelled(labels, found)
+    for x in (labels, guesses, found):
         discard(x)
-    near = grown
-    # components only grow, so what is open now was open before: new labels are enough
-    labels = components(near).select(F.col("node").alias("set_id"), F.col("component").alias("new"))
-    narrow_now = narrow.join(labels, "set_id", "left").select("key", "block", "set_id", F.coalesce("new", "label").alias("label"), "home")
-    narrow_now = durable(narrow_now, "narrow")
-    discard(narrow)
-    narrow = narrow_now
-    # blocks with several components go on, those with the same nodes once
-    blocks = narrow.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id", "home")).alias("x"), F.sum(F.hash("set_id", "home").cast("long")).alias("y"))
-    once = blocks.where("low <> high").groupBy("n", "x", "y").agg(F.min(F.struct("key", "block")).alias("at")).select("at.key", "at.block")
-    rows_of = narrow.join(once, ["key", "block"]).join(sets.select("set_id", "print"), "set_id").select("key", "block", "set_id", "label", "home", "print")
-    last = durable(rows_of.groupBy("key", "block").applyInArrow(_narrow_again(t), "key long, block long, set_id binary, label binary, home boolean"), "last")
-    more = (
-        last.join(tokens, "set_id")
-        .select("key", "block", "set_id", "label", "home", "tokens")
-        .groupBy("key", "block")
-        .applyInArrow(_resolve(t), "a binary, b binary")
-    )
-    links = durable(near.unionByName(more), "links")
-    final = components(links)
+    labels, again = grown, _apart(apart.select("key", "set_id"), grown)
+    discard(apart)
+    # what is apart now is compared exhaustively
+    if stats is not None:
+        kind = lambda df, bit: df.where(F.col("key").bitwiseAND(1) == bit).select("key").distinct().count()
+        stats |= {"single": kind(members, 0), "pair": kind(members, 1), "single apart": kind(again, 0), "pair apart": kind(again, 1)}
+    tiles = durable(_tiles(again), "tiles")
+    open_rows = tiles.join(sets.select("set_id", "print"), "set_id").groupBy("tile").applyInArrow(_narrow(t), tiles.schema)
+    last = durable(open_rows, "last")
+    found = durable(last.join(tokens, "set_id").groupBy("tile").applyInArrow(_resolve(t), "a binary, b binary"), "near")
+    final = _relabelled(labels, found)
     firsts = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    named = firsts.join(final.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("set_id", "component_id")
+    named = firsts.join(final, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "label").select("set_id", "component_id")
     out = rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     done = durable(out, "components")
-    for x in (placed, members, sets, star, narrow, last, near, links, scan):
+    for x in (members, sets, labels, again, tiles, last, found, final, scan):
         discard(x)
     return done
 

@@ -58,6 +58,26 @@ def test_jaccard_null_and_repeated_ids(spark):
     assert Counter((r["doc_id"], r["component_id"]) for r in found) == Counter([(None, 5), (5, 5), (7, 7), (7, 7), (9, 7), (11, 7), (None, None), (None, None)])
 
 
+@pytest.mark.parametrize("num,den", [(9, 10), (4, 5), (3, 4)])
+def test_linked_sets_share_a_key_whatever_the_classes(num, den):
+    import numpy as np
+    from fractions import Fraction
+
+    rng, t, met = np.random.default_rng(num), Fraction(num, den), 0
+    for _ in range(3000):
+        tokens = rng.permutation(120).astype(np.uint64)
+        place = rng.integers(0, 50, 120)
+        place[rng.random(120) < rng.choice([0.1, 0.5, 0.9, 1.0])] += jaccard._OFTEN
+        n, d = int(rng.integers(2, 90)), int(rng.integers(0, 12))
+        x, y = np.sort(tokens[:n]), np.sort(tokens[d : n + int(rng.integers(0, 8))])
+        both = len(np.intersect1d(x, y))
+        if len(x) and len(y) and jaccard.reaches(both, len(x), len(y), t) and (len(x) != len(y) or (x != y).any()):
+            a, b = (set(zip(*(k.tolist() for k in jaccard.prefix_keys(s, place[s.astype(int)], t)))) for s in (x, y))
+            assert a & b
+            met += 1
+    assert met > 100
+
+
 def test_block_links_join_all_labels():
     import numpy as np
     from fractions import Fraction
