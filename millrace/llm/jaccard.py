@@ -270,14 +270,19 @@ def _codes(column) -> np.ndarray:
     return np.unique(np.array(column.to_pylist(), object), return_inverse=True)[1]
 
 
+_GUESS = "key long, set_id binary, label binary, partner binary"
+
+
 def _guess(t: Fraction):
-    """For each row of a block its likeliest link to another component."""
+    """For each row of a block its likeliest link to another component; rows that signatures rule out go, where the block is all of its key."""
 
     def run(group):
         signs, known = _signatures(group.column("sign"))
         partner = likely_partners(signs, known, _codes(group.column("label")), t)
         ids = group.column("set_id").combine_chunks()
-        return pa.table({"x": ids, "y": ids.take(pa.array(np.maximum(partner, 0)))}).filter(pa.array(partner >= 0))
+        near = ids.take(pa.array(np.maximum(partner, 0), mask=partner < 0))
+        whole = group.column("n")[0].as_py() <= BLOCK
+        return group.select(["key", "set_id", "label"]).append_column("partner", near).filter(pa.array((partner >= 0) | (not whole)))
 
     return run
 
@@ -387,7 +392,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, set_id, label, n) of the keys whose nodes lie in several components; n counts a key's nodes.  Keys with the same nodes count once."""
-    named = durable(members.join(labels, "set_id", "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label")), "named")
+    named = durable(members.select("key", "set_id").join(labels, "set_id", "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label")), "named")
     keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.hash("set_id").cast("long")).alias("y"))
     once = keys.where("low <> high").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     out = durable(named.join(once, "key"), "apart")
@@ -453,19 +458,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     discard(star)
     # in the keys that are still apart, each node with its likeliest link to another component
     apart = _apart(members, labels)
-    block = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / BLOCK))
-    dealt = apart.select("key", block.alias("block"), "set_id", "label").join(signs, "set_id")
-    guesses = durable(dealt.groupBy("key", "block").applyInArrow(_guess(t), "x binary, y binary"), "guess")
-    found = verified(guesses.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    dealt = apart.withColumn("block", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / BLOCK))).join(signs, "set_id")
+    narrow = durable(dealt.select("key", "block", "n", "set_id", "label", "sign").groupBy("key", "block").applyInArrow(_guess(t), _GUESS), "narrow")
+    found = verified(narrow.where("partner is not null").select(F.least("set_id", "partner").alias("x"), F.greatest("set_id", "partner").alias("y")).distinct())
     grown = _relabelled(labels, found)
-    for x in (labels, guesses, found):
+    if stats is not None:
+        kind = lambda df, bit: df.where(F.col("key").bitwiseAND(1) == bit).select("key").distinct().count()
+        stats |= {"single": kind(members, 0), "pair": kind(members, 1)}
+    for x in (apart, labels, found, members):
         discard(x)
-    labels, again = grown, _apart(apart.select("key", "set_id"), grown)
-    discard(apart)
     # what is apart now is compared exhaustively
+    labels, again = grown, _apart(narrow, grown)
+    discard(narrow)
     if stats is not None:
-        kind = lambda df, bit: df.where(F.col("key").bitwiseAND(1) == bit).select("key").distinct().count()
-        stats |= {"single": kind(members, 0), "pair": kind(members, 1), "single apart": kind(again, 0), "pair apart": kind(again, 1)}
+        stats |= {"single apart": kind(again, 0), "pair apart": kind(again, 1)}
     tiles = durable(_tiles(again), "tiles")
     open_rows = tiles.join(sets.select("set_id", "print"), "set_id").groupBy("tile").applyInArrow(_narrow(t), tiles.schema)
     last = durable(open_rows, "last")
@@ -477,7 +483,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     named = named.join(least, "label").select("set_id", "component_id")
     out = rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     done = durable(out, "components")
-    for x in (members, sets, labels, again, tiles, last, found, final, scan):
+    for x in (sets, labels, again, tiles, last, found, final, scan):
         discard(x)
     return done
 
