@@ -1,38 +1,51 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text's bytes are cut where a rolling hash of the last WINDOW bytes meets a
-mask, so equal passages give equal chunks wherever they stand.  A chunk is
-encoded once per worker and looked up after that.  A cut may fall inside a
-word, where the parts' own tokens would be wrong: the join is repaired by
-re-encoding the piece between the last blank before the cut and the first
-blank after it.  The tokenizer's own splitter never joins characters across a
-blank, so on both edges of the piece the tokens agree exactly; a chunk without
-a blank keeps the join open into the next chunk.
-
-Both tables (chunks and words) are bounded; a full table starts anew, which
-costs time and never changes a result.
+mask, so equal passages give equal chunks wherever they stand.  Chunks that
+several documents share are counted over the whole table; the SHARED ones that
+save most are encoded once, and every task gets their tokens.  Other chunks are
+encoded where they stand, once a task while its tables have room.
+
+A cut may fall inside a word, so the pieces around a cut up to the next blanks
+are never taken from chunks.  The join is repaired: the piece is encoded again
+together with the words before and behind it, and their tokens must agree
+exactly with those that the chunks have.  Where they don't, as with a tokenizer
+that joins characters across blanks, the whole text is encoded anew.
+
+The tables of a task (chunks and words) are bounded and end with it; a full
+table starts anew, which costs time and never changes a result.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.frames import discard, durable
 from millrace.llm.textbytes import flat, slices
 
 #: Mean bytes between two cuts is 2**CUT_BITS.
 CUT_BITS = 8
 WINDOW = 16
-#: Entries of a worker's tables.
-CHUNKS = 20_000
-WORDS = 250_000
+#: Shared chunks that are encoded once for all tasks: about 1 KB each in a task.
+SHARED = 20_000
+#: Longest shared chunk, in bytes, so that the table has a bound.
+LONGEST = 2048
+#: Entries of a task's own tables.
+CHUNKS = 10_000
+WORDS = 150_000
 
 _BLANK = re.compile(r"[ \t\n\r]+")
 _GEAR = np.random.default_rng(99).integers(0, 2**32, 256, dtype=np.uint32)
+#: Letters, then signs, whose tokens may be looked up apart from each other if the tokenizer shows that it parts them.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$#]*)\Z")
+_PROBES = ("word", "Word", "WORDS.", "ÈÉäöü", "straßeÿ!!", "a,", "Zz$$$", "éèê;:", "ÀÖØÞ#*?")
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -50,78 +63,128 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts with one tokenizer file, keeping what it has met before."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    """Encodes texts with one tokenizer file, keeping what it has met before; shared: entries of chunk() by chunk."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, path: str, shared: dict[bytes, tuple] | None = None):
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
         self.words: dict[str, tuple[bytes, str]] = {"": (b"", "")}
         self.chunks: dict[bytes, tuple] = {}
-        self.reused = self.made = 0
+        self.shared = shared or {}
+        self.reused = self.made = self.anew = 0
+        self.letters = _byte_letters()
+        self.plain = True
+        self.plain = all(self._parted(x) == self._encoded(x) for x in _PROBES)
 
-    def word(self, text: str) -> tuple[bytes, str]:
-        """(ids as 32-bit numbers, decoded text) of a piece between blanks."""
-        found = self.words.get(text)
+    def _encoded(self, text: str) -> tuple[bytes, str]:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("i", ids).tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False)
+
+    def _letters(self, text: str) -> tuple[bytes, str]:
+        """The tokens of lower-case letters, or of signs, straight from the merges."""
+        tokens = self.model.tokenize(text.translate(self.letters))
+        return array("i", [x.id for x in tokens]).tobytes(), " ".join([x.value for x in tokens])
+
+    def _parted(self, text: str) -> tuple[bytes, str]:
+        """The tokens of letters, then of signs, each met once."""
+        letters, signs = _PLAIN.match(text).groups()
+        first = self._kept(letters.lower(), self._letters)
+        if not signs:
+            return first
+        then = self._kept(signs, self._letters)
+        return first[0] + then[0], f"{first[1]} {then[1]}"
+
+    def _kept(self, text: str, make) -> tuple[bytes, str]:
+        found = self.words.get(text) if make == self._letters else None
         if found is None:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            found = (np.array(ids, np.int32).tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False))
+            found = make(text)
             if len(self.words) >= WORDS:
                 self.words = {"": (b"", "")}
             self.words[text] = found
         return found
 
+    def word(self, text: str) -> tuple[bytes, str]:
+        """(ids as 32-bit numbers, decoded text) of a piece between blanks."""
+        found = self.words.get(text)
+        if found is None:
+            found = self._kept(text, self._parted if self.plain and _PLAIN.match(text) else self._encoded)
+        return found
+
+    def made_chunk(self, raw: bytes) -> tuple:
+        """(first piece, ids and decoded text of the whole pieces after it, last piece, first and last whole piece); without a blank, ids are None."""
+        pieces = _BLANK.split(raw.decode("utf-8", "surrogatepass"))
+        if len(pieces) == 1:
+            return pieces[0], None, None, "", "", ""
+        inner = pieces[1:-1]
+        found = [self.word(p) for p in inner]
+        return pieces[0], b"".join([x for x, _ in found]), " ".join([y for x, y in found if x]), pieces[-1], inner[0] if inner else "", inner[-1] if inner else ""
+
     def chunk(self, raw: bytes) -> tuple:
-        """(first piece, ids and decoded text of the whole pieces after it, last piece); the latter three None without a blank."""
-        found = self.chunks.get(raw)
+        found = self.shared.get(raw) or self.chunks.get(raw)
         if found is not None:
             self.reused += 1
             return found
         self.made += 1
-        pieces = _BLANK.split(raw.decode("utf-8", "surrogatepass"))
-        if len(pieces) == 1:
-            found = (pieces[0], None, None, None)
-        else:
-            inner = [self.word(p) for p in pieces[1:-1]]
-            found = (pieces[0], b"".join([x for x, _ in inner]), " ".join([y for x, y in inner if x]), pieces[-1])
+        found = self.made_chunk(raw)
         if len(self.chunks) >= CHUNKS:
             self.chunks = {}
         self.chunks[raw] = found
         return found
 
+    def repaired(self, left: str, joined: str, right: str) -> tuple[bytes, str] | None:
+        """The tokens of the piece at a join, encoded again with its neighbours; None where theirs come out otherwise."""
+        found = self.word(joined)
+        again = array("i", self.tokenizer.encode(" ".join([x for x in (left, joined, right) if x]), add_special_tokens=False).ids).tobytes()
+        return found if again == self.word(left)[0] + found[0] + self.word(right)[0] else None
+
     def text(self, raws: list[bytes]) -> tuple[bytes, str]:
         """(ids, decoded text) of a text given by its chunks."""
-        ids, words, pending = [], [], []
-        for raw in raws:
-            head, own, decoded, tail = self.chunk(raw)
+        ids, words, pending, left = [], [], [], ""
+        for raw in [*raws, b" "]:
+            head, own, decoded, tail, first, last = self.chunk(raw)
             pending.append(head)
             if own is None:
                 continue
-            joined = self.word("".join(pending))
-            ids += (joined[0], own)
-            words += (joined[1], decoded)
-            pending = [tail]
-        last = self.word("".join(pending))
-        ids.append(last[0])
-        words.append(last[1])
+            joined = "".join(pending)
+            if joined:
+                found = self.repaired(left, joined, first)
+                if found is None:
+                    self.anew += 1
+                    return self._encoded(b"".join(raws).decode("utf-8", "surrogatepass"))
+                ids.append(found[0])
+                words.append(found[1])
+                left = joined
+            ids.append(own)
+            words.append(decoded)
+            left, pending = last or left, [tail]
         return b"".join(ids), " ".join([w for w in words if w])
 
 
-_encoders: dict[str, Encoder] = {}
+_tokenizers: dict = {}
+
+
+def _tokenizer(path: str):
+    """This worker's tokenizer of a file; nothing of the texts stays in it."""
+    if path not in _tokenizers:
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(path)
+        made.no_truncation()
+        made.no_padding()
+        _tokenizers[path] = made
+    return _tokenizers[path]
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a file; its tables live as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for the UTF-8 bytes of characters below 256 in byte-level vocabularies: printable bytes stand for themselves, the others for 256 and on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in own]
+    letter = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(33, 256)}
 
 
-def encode_texts(texts: pa.Array, path: str) -> tuple[pa.Array, pa.Array]:
+def encode_texts(texts: pa.Array, enc: Encoder) -> tuple[pa.Array, pa.Array]:
     """(ids, decoded) of an array of texts."""
-    enc = encoder(path)
     data, offsets = flat(texts)
     ends = cuts(data, offsets)
     raw = data.tobytes()
@@ -136,25 +199,97 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[pa.Array, pa.Array]:
     return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(ids), np.int32))), pa.array(decoded, pa.string())
 
 
-def _encode(path: str):
+def _encode(path: str, shared):
     def run(batches):
+        enc = Encoder(path, shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, decoded = encode_texts(part.column("text"), path)
+                ids, decoded = encode_texts(part.column("text"), enc)
                 yield pa.RecordBatch.from_arrays([part.column("row"), ids, decoded], ["row", "ids", "decoded"])
 
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _chunks(texts: pa.Array):
+    """(digest, bytes) of the chunks of all texts that may be shared, each once a text."""
+    data, offsets = flat(texts)
+    ends = cuts(data, offsets)
+    raw, at = data.tobytes(), np.searchsorted(ends, offsets).tolist()
+    bounds = ends.tolist()
+    for i in range(len(texts)):
+        own = {raw[x:y] for x, y in zip(bounds[at[i] : at[i + 1]], bounds[at[i] + 1 : at[i + 1] + 1], strict=True) if y - x <= LONGEST}
+        for c in own:
+            yield xxhash.xxh3_64_intdigest(c) - (1 << 63), c
+
+
+def _count_chunks(batches):
+    for batch in batches:
+        for part in slices(batch, "text"):
+            found: dict[int, list[int]] = {}
+            for digest, c in _chunks(part.column("text")):
+                found.setdefault(digest, [0, len(c)])[0] += 1
+            n, size = zip(*found.values(), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64())], ["digest", "n", "size"])
+
+
+def _fetch_chunks(wanted):
+    def run(batches):
+        left = set(wanted.value)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = {}
+                for digest, c in _chunks(part.column("text")):
+                    if digest in left:
+                        left.discard(digest)
+                        found[digest] = c
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["digest", "raw"])
+
+    return run
+
+
+def _encode_chunks(path: str):
+    def run(batches):
+        enc = Encoder(path)
+        for batch in batches:
+            raws = batch.column("raw").to_pylist()
+            made = [enc.made_chunk(x) for x in raws]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(raws, pa.binary()), *[pa.array([m[i] for m in made], pa.binary() if i == 1 else pa.string()) for i in range(6)]], ["raw", "head", "ids", "decoded", "tail", "first", "last"]
+            )
+
+    return run
+
+
+def shared_chunks(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes, tuple]:
+    """The tokens of the chunks that save most when they are encoded once: most of them at most, each in two or more documents.
+
+    All chunks of all documents are counted by digest; only the chosen ones'
+    bytes move, and one task encodes each.  Digests choose, bytes decide: a
+    chunk is looked up by its bytes.
+    """
+    counted = docs.select("text").mapInArrow(_count_chunks, "digest long, n long, size long").groupBy("digest").agg(F.sum("n").alias("n"), F.min("size").alias("size")).where("n > 1")
+    top = counted.orderBy(((F.col("n") - 1) * F.col("size")).desc(), "digest").limit(most).select("digest").collect()
+    if not top:
+        return {}
+    wanted = docs.sparkSession.sparkContext.broadcast([r["digest"] for r in top])
+    raws = durable(docs.select("text").mapInArrow(_fetch_chunks(wanted), "digest long, raw binary").groupBy("digest").agg(F.min("raw").alias("raw")), "chunks")
+    rows = raws.select("raw").mapInArrow(_encode_chunks(path), "raw binary, head string, ids binary, decoded string, tail string, first string, last string").collect()
+    discard(raws)
+    return {bytes(r[0]): (r[1], None if r[2] is None else bytes(r[2]), *r[3:]) for r in rows}
+
+
+def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), shared: int = SHARED) -> DataFrame:
     """The kept columns of every row with ids (array of int) and decoded (the ids' text).
 
     ids are those of the tokenizer file's encode(text, add_special_tokens=False)
     without truncation and padding, decoded those of decode(ids,
     skip_special_tokens=False).  A null text counts as empty: no ids and an
-    empty text.  The file must exist at path on every executor.  An empty table
-    gives an empty result.
+    empty text.  Rows that repeat each get their tokens; other columns, whatever
+    their names, don't matter.  The file must exist at path on every executor.
+    An empty table gives an empty result.  shared bounds the chunks that are
+    encoded once for all tasks; results don't depend on it.
     """
+    table = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, shared))
     packed = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), "text")
-    out = packed.mapInArrow(_encode(path), f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
+    out = packed.mapInArrow(_encode(path, table), f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
     return out.select(*[F.col("row")[c].alias(c) for c in keep], "ids", "decoded")

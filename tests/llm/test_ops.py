@@ -218,11 +218,33 @@ def test_bpe(docs, spark):
     whole = tokenizers.Tokenizer.from_file(path)
     odd = ["a<|endoftext|>b <|startoftext|>", "İstanbul x\x0by\x1cz é ́a", "it's  we'll\n\n", "x" * 5000, "ΑΣ ΣΑ"]
     more = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    assert len(bpe.shared_chunks(more, path)) > 10 and bpe.encode_decode(more.limit(0), path).count() == 0
     for r in bpe.encode_decode(more, path, ("doc_id", "text")).collect():
         ids = whole.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["decoded"] == whole.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_tables_and_disagreeing_joins(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    texts = [prose(i % 7, 400) + " É.a 'tis it's x\u0301 " + "y" * i for i in range(30)]
+    whole = bpe.Encoder(path)
+    for limits in ({}, {"CHUNKS": 3, "WORDS": 5}):
+        for name, value in limits.items():
+            monkeypatch.setattr(bpe, name, value)
+        ids, decoded = bpe.encode_texts(__import__("pyarrow").array(texts), bpe.Encoder(path))
+        for text, a, b in zip(texts, ids.to_pylist(), decoded.to_pylist(), strict=True):
+            want = whole.tokenizer.encode(text, add_special_tokens=False).ids
+            assert a == want and b == whole.tokenizer.decode(want, skip_special_tokens=False)
+    # a chunk with wrong tokens at its edge: the join does not agree, and the text is encoded anew
+    enc = bpe.Encoder(path)
+    assert enc.plain and enc.repaired("one", "two", "three") == enc.word("two")
+    enc.words["three"] = (b"\1\0\0\0", "!")
+    assert enc.repaired("one", "two", "three") is None
+    raws = [b"one t", b"wo three four"]
+    assert enc.text(raws) == enc._encoded("one two three four") and enc.anew == 1
+
+
 def test_learned_models(spark, docs):
     parts = {"en": "th ing the", "de": "sch und ein", "fr": "eau les oui", "es": "cion los que"}
     rows = [(i, " ".join(parts[c].split()[(i + j * j) % 3] for j in range(40)), c) for i, c in enumerate(list(parts) * 40)]
