@@ -31,15 +31,15 @@ from millrace.llm.frames import discard, durable
 from millrace.llm.textbytes import flat, slices
 
 #: Mean bytes between two cuts is 2**CUT_BITS.
-CUT_BITS = 8
+CUT_BITS = 9
 WINDOW = 16
-#: Shared chunks that are encoded once for all tasks: about 1 KB each in a task.
+#: Shared chunks that are encoded once for all tasks: about 1 KB each.
 SHARED = 20_000
 #: Longest shared chunk, in bytes, so that the table has a bound.
-LONGEST = 2048
+LONGEST = 4096
 #: Entries of a task's own tables.
-CHUNKS = 10_000
-WORDS = 150_000
+CHUNKS = 5_000
+WORDS = 250_000
 
 _BLANK = re.compile(r"[ \t\n\r]+")
 _GEAR = np.random.default_rng(99).integers(0, 2**32, 256, dtype=np.uint32)
@@ -68,56 +68,48 @@ class Encoder:
     def __init__(self, path: str, shared: dict[bytes, tuple] | None = None):
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        self.words: dict[str, bytes] = {"": b""}
         self.chunks: dict[bytes, tuple] = {}
         self.shared = shared or {}
         self.reused = self.made = self.anew = 0
-        self.letters = _byte_letters()
+        self.letters, self.vocabulary = _byte_letters(), _vocabulary(path)
         self.plain = True
         self.plain = all(self._parted(x) == self._encoded(x) for x in _PROBES)
 
-    def _encoded(self, text: str) -> tuple[bytes, str]:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return array("i", ids).tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False)
+    def _encoded(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, text: str) -> tuple[bytes, str]:
+    def _letters(self, text: str) -> bytes:
         """The tokens of lower-case letters, or of signs, straight from the merges."""
-        tokens = self.model.tokenize(text.translate(self.letters))
-        return array("i", [x.id for x in tokens]).tobytes(), " ".join([x.value for x in tokens])
+        return array("i", [x.id for x in self.model.tokenize(text.translate(self.letters))]).tobytes()
 
-    def _parted(self, text: str) -> tuple[bytes, str]:
-        """The tokens of letters, then of signs, each met once."""
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(self.words) >= WORDS:
+            self.words = {"": b""}
+        self.words[text] = ids
+        return ids
+
+    def _parted(self, text: str) -> bytes:
+        """The tokens of letters, then of signs, each worked out once."""
         letters, signs = _PLAIN.match(text).groups()
-        first = self._kept(letters.lower(), self._letters)
-        if not signs:
-            return first
-        then = self._kept(signs, self._letters)
-        return first[0] + then[0], f"{first[1]} {then[1]}"
-
-    def _kept(self, text: str, make) -> tuple[bytes, str]:
-        found = self.words.get(text) if make == self._letters else None
-        if found is None:
-            found = make(text)
-            if len(self.words) >= WORDS:
-                self.words = {"": (b"", "")}
-            self.words[text] = found
+        found = b""
+        for part in (letters.lower(), signs):
+            known = self.words.get(part)
+            found += self._keep(part, self._letters(part)) if known is None else known
         return found
 
-    def word(self, text: str) -> tuple[bytes, str]:
-        """(ids as 32-bit numbers, decoded text) of a piece between blanks."""
+    def word(self, text: str) -> bytes:
+        """The ids of a piece between blanks, as 32-bit numbers."""
         found = self.words.get(text)
-        if found is None:
-            found = self._kept(text, self._parted if self.plain and _PLAIN.match(text) else self._encoded)
-        return found
+        return self._keep(text, self._parted(text) if self.plain and _PLAIN.match(text) else self._encoded(text)) if found is None else found
 
     def made_chunk(self, raw: bytes) -> tuple:
-        """(first piece, ids and decoded text of the whole pieces after it, last piece, first and last whole piece); without a blank, ids are None."""
+        """(first piece, ids of the whole pieces after it, last piece, first and last whole piece); without a blank, ids are None."""
         pieces = _BLANK.split(raw.decode("utf-8", "surrogatepass"))
         if len(pieces) == 1:
-            return pieces[0], None, None, "", "", ""
-        inner = pieces[1:-1]
-        found = [self.word(p) for p in inner]
-        return pieces[0], b"".join([x for x, _ in found]), " ".join([y for x, y in found if x]), pieces[-1], inner[0] if inner else "", inner[-1] if inner else ""
+            return pieces[0], None, "", "", ""
+        inner, word = pieces[1:-1], self.word
+        return pieces[0], b"".join([word(p) for p in inner]), pieces[-1], inner[0] if inner else "", inner[-1] if inner else ""
 
     def chunk(self, raw: bytes) -> tuple:
         found = self.shared.get(raw) or self.chunks.get(raw)
@@ -131,17 +123,18 @@ class Encoder:
         self.chunks[raw] = found
         return found
 
-    def repaired(self, left: str, joined: str, right: str) -> tuple[bytes, str] | None:
+    def repaired(self, left: str, joined: str, right: str) -> bytes | None:
         """The tokens of the piece at a join, encoded again with its neighbours; None where theirs come out otherwise."""
-        found = self.word(joined)
-        again = array("i", self.tokenizer.encode(" ".join([x for x in (left, joined, right) if x]), add_special_tokens=False).ids).tobytes()
-        return found if again == self.word(left)[0] + found[0] + self.word(right)[0] else None
-
-    def text(self, raws: list[bytes]) -> tuple[bytes, str]:
-        """(ids, decoded text) of a text given by its chunks."""
-        ids, words, pending, left = [], [], [], ""
+        before, after = self.word(left), self.word(right)
+        again = self._encoded(" ".join([x for x in (left, joined, right) if x]))
+        end = len(again) - len(after)
+        return again[len(before) : end] if len(before) <= end and again.startswith(before) and again.endswith(after) else None
+
+    def ids(self, raws: list[bytes]) -> bytes:
+        """The ids of a text given by its chunks."""
+        ids, pending, left = [], [], ""
         for raw in [*raws, b" "]:
-            head, own, decoded, tail, first, last = self.chunk(raw)
+            head, own, tail, first, last = self.chunk(raw)
             pending.append(head)
             if own is None:
                 continue
@@ -151,16 +144,21 @@ class Encoder:
                 if found is None:
                     self.anew += 1
                     return self._encoded(b"".join(raws).decode("utf-8", "surrogatepass"))
-                ids.append(found[0])
-                words.append(found[1])
+                ids.append(found)
                 left = joined
             ids.append(own)
-            words.append(decoded)
             left, pending = last or left, [tail]
-        return b"".join(ids), " ".join([w for w in words if w])
+        return b"".join(ids)
+
+    def decoded(self, ids: bytes) -> str:
+        """The ids' text; a tokenizer without a decoder joins its tokens by blanks, and that is done here."""
+        if self.tokenizer.decoder is not None:
+            return self.tokenizer.decode(array("i", ids).tolist(), skip_special_tokens=False)
+        return " ".join([self.vocabulary[i] for i in array("i", ids)])
 
 
 _tokenizers: dict = {}
+_vocabularies: dict = {}
 
 
 def _tokenizer(path: str):
@@ -175,6 +173,17 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _vocabulary(path: str) -> list[str]:
+    """The tokens by id, also those that were added."""
+    if path not in _vocabularies:
+        ids = _tokenizer(path).get_vocab(with_added_tokens=True)
+        found = [""] * (max(ids.values(), default=-1) + 1)
+        for token, i in ids.items():
+            found[i] = token
+        _vocabularies[path] = found
+    return _vocabularies[path]
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for the UTF-8 bytes of characters below 256 in byte-level vocabularies: printable bytes stand for themselves, the others for 256 and on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -192,9 +201,8 @@ def encode_texts(texts: pa.Array, enc: Encoder) -> tuple[pa.Array, pa.Array]:
     ids, decoded = [], []
     for i in range(len(texts)):
         bounds = ends[at[i] : at[i + 1] + 1].tolist()
-        a, b = enc.text([raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)])
-        ids.append(a)
-        decoded.append(b)
+        ids.append(enc.ids([raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]))
+        decoded.append(enc.decoded(ids[-1]))
     starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(ids), np.int32))), pa.array(decoded, pa.string())
 
@@ -254,7 +262,7 @@ def _encode_chunks(path: str):
             raws = batch.column("raw").to_pylist()
             made = [enc.made_chunk(x) for x in raws]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(raws, pa.binary()), *[pa.array([m[i] for m in made], pa.binary() if i == 1 else pa.string()) for i in range(6)]], ["raw", "head", "ids", "decoded", "tail", "first", "last"]
+                [pa.array(raws, pa.binary()), *[pa.array([m[i] for m in made], pa.binary() if i == 1 else pa.string()) for i in range(5)]], ["raw", "head", "ids", "tail", "first", "last"]
             )
 
     return run
@@ -273,7 +281,7 @@ def shared_chunks(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes,
         return {}
     wanted = docs.sparkSession.sparkContext.broadcast([r["digest"] for r in top])
     raws = durable(docs.select("text").mapInArrow(_fetch_chunks(wanted), "digest long, raw binary").groupBy("digest").agg(F.min("raw").alias("raw")), "chunks")
-    rows = raws.select("raw").mapInArrow(_encode_chunks(path), "raw binary, head string, ids binary, decoded string, tail string, first string, last string").collect()
+    rows = raws.select("raw").mapInArrow(_encode_chunks(path), "raw binary, head string, ids binary, tail string, first string, last string").collect()
     discard(raws)
     return {bytes(r[0]): (r[1], None if r[2] is None else bytes(r[2]), *r[3:]) for r in rows}
 

@@ -489,9 +489,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id; columns as they are.
+    """The rows of docs without those whose component has a smaller doc_id; columns as they are, whatever their names.
 
-    Rows that repeat one doc_id stay together.  Rows without a doc_id stay.
+    Rows that repeat one doc_id stay together.  Rows without a doc_id, and
+    texts without words, stay.  An empty table gives an empty result.
     """
-    found = jaccard_components(docs, words, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = jaccard_components(docs, words, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(found, docs["doc_id"].cast("long") == found["gone"], "left_anti")

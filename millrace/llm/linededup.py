@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines and the sentences inside them.
+"""Substring dedup by hashing lines and runs of the sentences inside them.
 
 A unit is a line, or a sentence of a line with several, of min_words words or
 more.  A shorter line or sentence says little by itself; it counts together
@@ -7,67 +7,69 @@ line ends too.  Units are normalised (lower case, one space between words), thei
 128-bit digests are grouped over all texts, the occurrence that ranks first by
 (doc_id, digest of the text, offset) stays, and the others that don't overlap it are cut.  The cut spans
 keep their offsets in the original text.
+
+A digest's rows are never gathered: its least doc_id comes from a sum that is
+combined before the shuffle, and goes back to the rows by a join, which Spark
+splits where a line is very common.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import durable
+from millrace.llm.frames import discard, durable
 from millrace.llm.textbytes import slices
 
+#: Words of a unit: shorter repeats, such as a licence line or a stock phrase, are no copied passage.
+MIN_WORDS = 25
 _LINE = re.compile(r"[^\n]+")
 _BREAK = re.compile(r"(?<=[.!?])\s+")
 
 
+def _pieces(text: str, start: int, end: int) -> list[tuple[int, int, int, str]]:
+    """(start, end, words, normalised text) of the sentences between start and end that have a word."""
+    out, at = [], start
+    for a, b in [*[m.span() for m in _BREAK.finditer(text, start, end)], (end, end)]:
+        part = text[at:a]
+        words = part.split()
+        if words:
+            lead = at + len(part) - len(part.lstrip())
+            out.append((lead, at + len(part.rstrip()), len(words), " ".join(words).lower()))
+        at = b
+    return out
+
+
 def units(text: str, min_words: int) -> list[tuple[int, int, str]]:
     """(start, end, normalised text) of a text's units, in code points; lines come before their sentences, and joined pieces last."""
     out: dict[tuple[int, int], str] = {}
-    pieces: list[tuple[int, int, list[str]]] = []
-
-    def add(start: int, end: int) -> tuple[int, int, list[str]]:
-        words = text[start:end].split()
-        lead = len(text[start:end]) - len(text[start:end].lstrip())
-        tail = len(text[start:end]) - len(text[start:end].rstrip())
-        if len(words) >= min_words:
-            out[start + lead, end - tail] = " ".join(words).lower()
-        return start + lead, end - tail, words
-
-    def join(some: list[tuple[int, int, list[str]]]) -> None:
-        out.setdefault((some[0][0], some[-1][1]), " ".join(w for _, _, words in some for w in words).lower())
-
+    pieces: list[tuple[int, int, int, str]] = []
     for line in _LINE.finditer(text):
-        start, end = line.span()
-        whole = add(start, end)
-        cuts = [m.span() for m in _BREAK.finditer(text, start, end)]
-        if cuts and end - start > 2 * min_words:
-            at = start
-            for a, b in [*cuts, (end, end)]:
-                pieces.append(add(at, a))
-                at = b
-        else:
-            pieces.append(whole)
-    pieces = [p for p in pieces if p[2]]
-    for i, (_, _, words) in enumerate(pieces):
-        if len(words) >= min_words:
+        own = _pieces(text, *line.span())
+        if sum(p[2] for p in own) >= min_words:
+            out[own[0][0], own[-1][1]] = " ".join([p[3] for p in own])
+            for p in own:
+                if p[2] >= min_words:
+                    out[p[0], p[1]] = p[3]
+        pieces += own
+    for i, p in enumerate(pieces):
+        if p[2] >= min_words:
             continue
-        n, j = len(words), i
-        while n < min_words and j + 1 < len(pieces):
-            j += 1
-            n += len(pieces[j][2])
-        if n >= min_words:
-            join(pieces[i : j + 1])
-        n, j = len(words), i
-        while n < min_words and j:
-            j -= 1
-            n += len(pieces[j][2])
-        if n >= min_words:
-            join(pieces[j : i + 1])
+        for step in (1, -1):
+            n, j = p[2], i
+            while n < min_words and 0 <= j + step < len(pieces):
+                j += step
+                n += pieces[j][2]
+            if n >= min_words:
+                low, high = min(i, j), max(i, j)
+                place = pieces[low][0], pieces[high][1]
+                if place not in out:
+                    out[place] = " ".join([q[3] for q in pieces[low : high + 1]])
     return [(a, b, norm) for (a, b), norm in out.items()]
 
 
@@ -92,21 +94,29 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*pieces, text[at:]])
 
 
+_UNIT = "high long, low long, doc_id long, mark long, span long, later boolean"
+
+
 def _emit(min_words: int):
+    """Units by digest; span holds start and end, later tells a unit that comes again in its own text, behind the first."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, marks, digests, starts, ends = [], [], [], [], []
+                ids, marks, digests, spans, later = [], [], [], [], []
                 for doc_id, mark, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
-                    for a, b, norm in units(text or "", min_words):
+                    ends: dict[bytes, int] = {}
+                    for a, b, norm in sorted(units(text or "", min_words)):
+                        digest = xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass"))
                         ids.append(doc_id)
                         marks.append(mark)
-                        digests.append(hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                        starts.append(a)
-                        ends.append(b)
+                        digests.append(digest)
+                        spans.append(a << 32 | b)
+                        later.append(a >= ends.setdefault(digest, b))
+                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-                    ["digest", "doc_id", "mark", "start", "end"],
+                    [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(spans, pa.int64()), pa.array(later, pa.bool_())],
+                    ["high", "low", "doc_id", "mark", "span", "later"],
                 )
 
     return run
@@ -120,7 +130,7 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), batch.column("spans")], ["row", "text", "spans"])
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, mark, spans): for each text with repeats, the spans that an earlier unit repeats, by rising offset.
 
     mark is the text's 64-bit digest, so rows that share a doc_id, or have
@@ -128,29 +138,37 @@ def repeated_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
     document.  Null texts have no units; a null doc_id ranks last.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    rows = docs.mapInArrow(_emit(min_words), "digest binary, doc_id long, mark long, start int, end int")
-    rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("mark").alias("m"))
-    # rows of a digest by rising place: each sees the first only, so nothing is gathered
-    upward = Window.partitionBy("digest").orderBy(rank, "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("first", F.first(F.struct(rank.alias("r"), "start", "end")).over(upward))
-    again = rows.where((rank > F.col("first.r")) | (F.col("start") >= F.col("first.end")))
-    return durable(again.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
-
-
-def drop_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
+    rows = durable(docs.mapInArrow(_emit(min_words), _UNIT), "units")
+    place = F.coalesce("doc_id", F.lit(2**63 - 1))
+    key = ["high", "low"]
+    # the least doc_id of every digest that comes again, then the least mark of its rows
+    least = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("at")).where("n > 1").drop("n")
+    least = durable(least, "least")
+    again = durable(rows.join(least, key), "again")
+    for x in (rows, least):
+        discard(x)
+    first = again.where(place == F.col("at")).groupBy(*key).agg(F.min("mark").alias("own"))
+    gone = again.join(first, key).where((place != F.col("at")) | (F.col("mark") != F.col("own")) | F.col("later"))
+    span = F.struct(F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(2**32 - 1).cast("int").alias("end"))
+    done = durable(gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(span)).alias("spans")), "spans")
+    discard(again)
+    return done
+
+
+def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated units cut from text, plus the column removed_spans (array of start, end in the original text).
 
     A null or empty text stays as it is.  removed_spans is empty where nothing
-    was cut; an input column of that name is replaced.
+    was cut; an input column of that name is replaced.  Other columns, whatever
+    their names, go along.  An empty table gives an empty result.
     """
-    spans = repeated_spans(docs, min_words).toDF("_cut_id", "_cut_mark", "_cut_spans")
+    spans = repeated_spans(docs, min_words)
     docs = docs.drop("removed_spans")
-    own = docs["doc_id"].cast("long").eqNullSafe(spans["_cut_id"]) & (F.xxhash64(docs["text"]) == spans["_cut_mark"])
-    joined = docs.join(spans, own, "left")
     kind = "array<struct<start:int,end:int>>"
-    packed = joined.select(
-        F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["text"].alias("text"), F.coalesce("_cut_spans", F.array().cast(kind)).alias("spans")
-    )
+    # columns of docs travel in a struct, where no name can clash
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["text"].alias("text"), docs["doc_id"].cast("long").alias("id"))
+    joined = left.join(spans, left["id"].eqNullSafe(spans["doc_id"]) & (F.xxhash64(left["text"]) == spans["mark"]), "left")
+    packed = joined.select("row", "text", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
     row = packed.schema["row"].dataType.simpleString()
     done = packed.mapInArrow(_apply, f"row {row}, text string, spans {kind}")
     return done.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.col("spans").alias("removed_spans"))
