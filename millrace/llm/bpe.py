@@ -34,7 +34,7 @@ from millrace.llm.textbytes import flat, slices
 CUT_BITS = 9
 WINDOW = 16
 #: Shared chunks that are encoded once for all tasks: about 1 KB each.
-SHARED = 20_000
+SHARED = 10_000
 #: Longest shared chunk, in bytes, so that the table has a bound.
 LONGEST = 4096
 #: Entries of a task's own tables.
@@ -209,7 +209,7 @@ def encode_texts(texts: pa.Array, enc: Encoder) -> tuple[pa.Array, pa.Array]:
 
 def _encode(path: str, shared):
     def run(batches):
-        enc = Encoder(path, shared.value)
+        enc = Encoder(path, by_bytes(shared.value))
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, decoded = encode_texts(part.column("text"), enc)
@@ -268,8 +268,8 @@ def _encode_chunks(path: str):
     return run
 
 
-def shared_chunks(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes, tuple]:
-    """The tokens of the chunks that save most when they are encoded once: most of them at most, each in two or more documents.
+def shared_chunks(docs: DataFrame, path: str, most: int = SHARED) -> pa.Table:
+    """The tokens, as of made_chunk(), of the chunks that save most when they are encoded once: most of them at most, each in two or more documents.
 
     All chunks of all documents are counted by digest; only the chosen ones'
     bytes move, and one task encodes each.  Digests choose, bytes decide: a
@@ -277,13 +277,19 @@ def shared_chunks(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes,
     """
     counted = docs.select("text").mapInArrow(_count_chunks, "digest long, n long, size long").groupBy("digest").agg(F.sum("n").alias("n"), F.min("size").alias("size")).where("n > 1")
     top = counted.orderBy(((F.col("n") - 1) * F.col("size")).desc(), "digest").limit(most).select("digest").collect()
+    kind = "raw binary, head string, ids binary, tail string, first string, last string"
     if not top:
-        return {}
+        return docs.sparkSession.createDataFrame([], kind).toArrow()
     wanted = docs.sparkSession.sparkContext.broadcast([r["digest"] for r in top])
     raws = durable(docs.select("text").mapInArrow(_fetch_chunks(wanted), "digest long, raw binary").groupBy("digest").agg(F.min("raw").alias("raw")), "chunks")
-    rows = raws.select("raw").mapInArrow(_encode_chunks(path), "raw binary, head string, ids binary, tail string, first string, last string").collect()
+    made = raws.select("raw").mapInArrow(_encode_chunks(path), kind).toArrow()
     discard(raws)
-    return {bytes(r[0]): (r[1], None if r[2] is None else bytes(r[2]), *r[3:]) for r in rows}
+    return made
+
+
+def by_bytes(table: pa.Table) -> dict[bytes, tuple]:
+    """shared_chunks() as a task looks them up."""
+    return dict(zip(table.column("raw").to_pylist(), zip(*(c.to_pylist() for c in table.columns[1:]), strict=True), strict=True))
 
 
 def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), shared: int = SHARED) -> DataFrame:

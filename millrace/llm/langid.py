@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,17 +131,22 @@ def svm(x: np.ndarray, y: np.ndarray, rounds: int = 250, reg: float = 1e-4) -> t
 
 
 def fit(langs: list[str], freq: np.ndarray) -> Model:
-    """Fit all machines on texts' gram frequencies."""
+    """Fit all machines on texts' gram frequencies, which are overwritten."""
     known = sorted(set(langs))
     families = [sorted(g) for _, g in itertools.groupby(sorted(known, key=lambda c: (family_of(c), c)), key=family_of)]
     lang = np.array(langs)
     scale = freq.std(0) + 1e-4 if len(freq) else np.ones(1 << BITS)
     mean = freq.mean(0) if len(freq) else np.zeros(1 << BITS)
-    x = ((freq - mean) / scale).astype(np.float32)
+    logs = [np.log(0.9 * freq[lang == c].mean(0, dtype=np.float64) + 0.1 / (1 << BITS)) for c in known]
+    typical = np.array([np.median(freq[lang == c] @ p.astype(np.float32)) for c, p in zip(known, logs, strict=True)])
+    # in place, as the sample is the largest thing on the driver
+    x = freq
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
     columns, bias, pairs = [], [], []
 
     def add(rows: np.ndarray, y: np.ndarray) -> None:
-        w, b = svm(x[rows], y)
+        w, b = svm(x if len(rows) == len(x) else x[rows], y)
         columns.append(w / scale)
         bias.append(b - float((w / scale) @ mean))
 
@@ -153,8 +159,6 @@ def fit(langs: list[str], freq: np.ndarray) -> Model:
             pairs.append(p)
             add(rows, np.where(lang[rows] == p[0], 1.0, -1.0))
     weights = whole(np.stack(columns, 1)) if columns else np.zeros((1 << BITS, 0), np.int64)
-    logs = [np.log(0.9 * freq[lang == c].mean(0) + 0.1 / (1 << BITS)) for c in known]
-    typical = np.array([np.median(freq[lang == c] @ p) for c, p in zip(known, logs, strict=True)])
     logs = whole(np.stack(logs, 1)) if logs else np.zeros((1 << BITS, 0), np.int64)
     return Model(families, pairs, weights, np.array(bias), logs, typical)
 
@@ -209,8 +213,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE, most_langs: int = 200) -> M
     rate = F.try_element_at(rates, F.col("lang"))
     draw = F.xxhash64(F.lit("lang sample"), "doc_id").bitwiseAND((1 << 52) - 1) / float(1 << 52)
     rows = labelled.where(draw < rate).select("lang", "text").mapInArrow(_features, "lang string, freq binary").collect()
-    rows = sorted((r["lang"], bytes(r["freq"])) for r in rows)
-    return fit([lang for lang, _ in rows], np.stack([np.frombuffer(f, np.float32) for _, f in rows]) if rows else np.zeros((0, 1 << BITS), np.float32))
+    rows.sort(key=lambda r: (r["lang"], xxhash.xxh3_128_digest(r["freq"])))
+    langs, freq = [r["lang"] for r in rows], np.zeros((len(rows), 1 << BITS), np.float32)
+    for i, r in enumerate(rows):
+        freq[i] = np.frombuffer(r["freq"], np.float32)
+    del rows
+    return fit(langs, freq)
 
 
 def _strange(model: Model, texts: pa.Array, likelihood: np.ndarray, n: np.ndarray) -> np.ndarray:

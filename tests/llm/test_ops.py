@@ -218,7 +218,7 @@ def test_bpe(docs, spark):
     whole = tokenizers.Tokenizer.from_file(path)
     odd = ["a<|endoftext|>b <|startoftext|>", "İstanbul x\x0by\x1cz é ́a", "it's  we'll\n\n", "x" * 5000, "ΑΣ ΣΑ"]
     more = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
-    assert len(bpe.shared_chunks(more, path)) > 5 and bpe.encode_decode(more.limit(0), path).count() == 0
+    assert bpe.shared_chunks(more, path).num_rows > 5 and bpe.encode_decode(more.limit(0), path).count() == 0
     for r in bpe.encode_decode(more, path, ("doc_id", "text")).collect():
         ids = whole.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["decoded"] == whole.decode(ids, skip_special_tokens=False)
