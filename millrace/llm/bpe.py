@@ -39,7 +39,7 @@ SHARED = 10_000
 LONGEST = 4096
 #: Entries of a task's own tables.
 CHUNKS = 5_000
-WORDS = 250_000
+WORDS = 100_000
 
 _BLANK = re.compile(r"[ \t\n\r]+")
 _GEAR = np.random.default_rng(99).integers(0, 2**32, 256, dtype=np.uint32)
