@@ -29,7 +29,10 @@ TURN, PAST, END = "<|turn|>", "<|past|>", "<|end|>"
 # Control strings of common templates begin with "<" or "[", followed by one of these.
 _CONTROL = r"\||/?s>|</?SYS>>"
 _SQUARE = r"/?INST\]"
-_WORD = r"[^\x20\x09-\x0D]+"
+#: Counted as one token, much as subword vocabularies cut text: up to six letters, up to three digits, or one other sign.
+TOKEN = r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]"
+#: Turns whose windows one inner pass finds, so that the list of all windows is copied once a block only.
+_TURNS = 256
 
 
 def escape(text: Column) -> Column:
@@ -58,10 +61,12 @@ def windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int = HISTOR
     text.  loss_spans holds start (from 0) and length, in code points of
     formatted.  Every turn is one window's own exactly once.  Rows of a null
     conv_id are one conversation.  An empty table gives an empty result.  A
-    conversation is one row here, as its digest needs all of it.
+    conversation is one row here, as its digest needs all of it, and a window
+    takes only its own turns and those it repeats along, so memory and time
+    grow with a conversation's text.  Other columns are ignored.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(_WORD)).cast("long") + MARKS)
+    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(TOKEN)).cast("long") + MARKS)
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("upto", F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, 0)))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "upto"))).alias("t"))
@@ -81,14 +86,26 @@ def windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int = HISTOR
         opened = F.struct(base.alias("base"), F.concat(s["starts"], F.array(i)).alias("starts"))
         return F.when((i <= F.col("system")) | fits, s).otherwise(opened)
 
-    begin = F.struct(F.lit(0).cast("long").alias("base"), F.array(F.lit(0)).alias("starts"))
-    whole = whole.withColumn("starts", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), begin, step, lambda s: s["starts"]))
-    each = whole.select("conv_id", "t", "n", "system", "starts", F.posexplode("starts").alias("window", "first"))
-    each = each.withColumn("next", F.coalesce(F.get("starts", F.col("window") + 1), F.col("n")))
+    ints = "array<int>"
+    state = lambda base, starts: F.struct(base.alias("base"), starts.alias("starts"))
+
+    def block(s: Column, b: Column) -> Column:
+        turns_of = F.sequence(b, F.least(b + _TURNS, F.col("n")) - 1)
+        inner = F.aggregate(turns_of, state(s["base"], F.array().cast(ints)), step)
+        return F.get(F.transform(F.array(inner), lambda x: state(x["base"], F.concat(s["starts"], x["starts"]))), F.lit(0))
+
+    blocks = F.sequence(F.lit(0), F.col("n") - 1, F.lit(_TURNS))
+    whole = whole.withColumn("starts", F.aggregate(blocks, state(F.lit(0).cast("long"), F.array(F.lit(0))), block, lambda s: s["starts"]))
     show = lambda mark: lambda t: F.struct(F.concat(F.lit(mark), _role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (F.lit(mark == TURN) & (t["role"] == "assistant")).alias("loss"))
-    again = F.when(F.col("window") > 0, F.concat(F.slice("t", F.lit(1), F.col("system")), F.slice("t", history(F.col("first")) + 1, F.col("first") - history(F.col("first"))))).otherwise(F.slice("t", F.lit(1), F.lit(0)))
-    own = F.slice("t", F.col("first") + 1, F.col("next") - F.col("first"))
-    each = each.select("conv_id", "window", F.col("first").alias("first_turn"), (F.col("next") - F.col("first")).alias("own_turns"), F.concat(F.transform(again, show(PAST)), F.transform(own, show(TURN))).alias("pieces"))
+    none = F.slice("t", F.lit(1), F.lit(0))
+
+    def window(first: Column, w: Column) -> Column:
+        """A window's own turns and those that it repeats, cut out of the conversation before windows become rows."""
+        own = F.slice("t", first + 1, F.coalesce(F.get("starts", w + 1), F.col("n")) - first)
+        again = F.when(w > 0, F.concat(F.slice("t", F.lit(1), F.col("system")), F.slice("t", history(first) + 1, first - history(first)))).otherwise(none)
+        return F.struct(w.alias("window"), first.alias("first_turn"), F.size(own).alias("own_turns"), F.concat(F.transform(again, show(PAST)), F.transform(own, show(TURN))).alias("pieces"))
+
+    each = whole.select("conv_id", F.explode(F.transform("starts", window)).alias("w")).select("conv_id", "w.*")
 
     end = F.lit(f"{END}\n")
     line = lambda p: F.concat(p["head"], p["body"], end)

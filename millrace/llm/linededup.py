@@ -147,11 +147,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = durable(rows.join(least, key), "again")
     for x in (rows, least):
         discard(x)
-    first = again.where(place == F.col("at")).groupBy(*key).agg(F.min("mark").alias("own"))
+    # written, so that the join can split a digest that very many rows have
+    first = durable(again.where(place == F.col("at")).groupBy(*key).agg(F.min("mark").alias("own")), "first")
     gone = again.join(first, key).where((place != F.col("at")) | (F.col("mark") != F.col("own")) | F.col("later"))
     span = F.struct(F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(2**32 - 1).cast("int").alias("end"))
     done = durable(gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(span)).alias("spans")), "spans")
-    discard(again)
+    for x in (again, first):
+        discard(x)
     return done
 
 
