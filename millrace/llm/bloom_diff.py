@@ -1,8 +1,7 @@
 """Document fingerprints by an invertible Bloom lookup sketch of paragraph digests.
 
-A text's paragraphs are its lines, long lines being cut further at sentence
-ends that a content rule picks (about half of them), so that a text of one line
-has paragraphs too.  Each paragraph's 64-bit digest (48 bits of hash, 16 bits
+A text's paragraphs are its lines, cut further at sentence ends, so that a text
+of one line has paragraphs too.  Each paragraph's 64-bit digest (48 bits of hash, 16 bits
 that check them) goes to one cell in each of three sub-tables of 16 cells; a
 cell holds the exclusive or of its digests.  The sketch of one version minus
 that of another holds only the paragraphs that differ, and peeling recovers
@@ -26,13 +25,13 @@ SLOTS = 16
 CELLS = 3 * SLOTS
 #: Differing paragraphs that a group of a larger sketch is meant for.
 PER_GROUP = 20
-#: Larger sketches tried before the sets themselves are compared.
-TRIES = 8
+#: Larger sketches tried; at the last one a group has a millionth of a digest.
+TRIES = 24
 _SWEEPS = 16
 _HIGH = -65536
 _KEYS = "array<bigint>"
-#: Ends of paragraphs: line ends, bars, and sentence ends before a word with one of half the first letters.
-PARAGRAPH_END = r"\n+|(?<=[.!?;|])\s+(?=[A-HÀ-Ïa-h])"
+#: Ends of paragraphs: line ends, bars, and sentence ends before a blank.
+PARAGRAPH_END = r"\n+|(?<=[.!?;|])\s+"
 
 
 def let(value: Column, body) -> Column:
@@ -110,32 +109,37 @@ def peel(cells: Column, level: Column) -> Column:
 
 
 def larger(left: Column, right: Column, tries: int = TRIES) -> Column:
-    """struct(found, left) from sketches dealt into groups by digest, more of them at every try."""
+    """struct(found, left) from sketches dealt into groups by digest, more of them at every try.
+
+    Digests are sorted by group once a try, so a try takes time in proportion to them.
+    """
 
     def attempt(level: Column) -> Column:
-        def with_groups(w: Column) -> Column:
-            mine = lambda keys, g: F.filter(keys, lambda q: F.pmod(F.shiftright(q["p"], 12), w["groups"]) == g)
-            one = lambda g: peel(sketch(mine(w["r"], g), sketch(mine(w["l"], g))), level)
-            parts = F.transform(F.sequence(F.lit(0).cast("bigint"), w["groups"] - 1), one)
-            gather = lambda ps: F.struct(F.flatten(F.transform(ps, lambda x: x["found"])).alias("found"), F.exists(ps, lambda x: x["left"]).alias("left"))
-            return let(parts, gather)
+        def by_group(groups: Column) -> Column:
+            both = F.concat(placed(left, level), placed(right, level))
+            return F.sort_array(F.transform(both, lambda q: F.struct(F.pmod(F.shiftright(q["p"], 12), groups).alias("g"), q["k"].alias("k"), q["p"].alias("p"))))
+
+        def peeled(all_: Column) -> Column:
+            begins = F.transform(all_, lambda q, i: F.when((i == 0) | (F.get(all_, i - 1)["g"] != q["g"]), i))
+
+            def with_starts(starts: Column) -> Column:
+                one = lambda at, j: peel(sketch(F.slice(all_, at + 1, F.coalesce(F.get(starts, j + 1), F.size(all_)) - at)), level)
+                return let(F.transform(starts, one), lambda ps: F.struct(F.flatten(F.transform(ps, lambda x: x["found"])).alias("found"), F.exists(ps, lambda x: x["left"]).alias("left")))
+
+            return let(F.array_compact(begins), with_starts)
 
         need = F.ceil((F.size(left) + F.size(right)) / F.lit(PER_GROUP)).cast("bigint")
         groups = F.greatest(F.lit(1).cast("bigint"), F.call_function("shiftleft", need, level - 1))
-        return let(F.struct(groups.alias("groups"), placed(left, level).alias("l"), placed(right, level).alias("r")), with_groups)
+        return let(let(groups, by_group), peeled)
 
     start = F.struct(F.array().cast(_KEYS).alias("found"), F.lit(True).alias("left"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(tries)), start, lambda s, r: F.when(s["left"], attempt(r)).otherwise(s))
 
 
 def difference(left: Column, right: Column, left_cells: Column, right_cells: Column) -> Column:
-    """struct(a, b): digests that only the left and only the right text has.
-
-    Should every try fail, the sets themselves are compared.
-    """
+    """struct(a, b): digests that only the left and only the right text has, from sketches alone; left tells whose a digest is."""
     first = peel(minus(left_cells, right_cells), F.lit(0))
-    both = lambda: F.concat(F.array_except(left, right), F.array_except(right, left))
-    found = let(first, lambda s: F.when(s["left"], let(larger(left, right), lambda t: F.when(t["left"], both()).otherwise(t["found"]))).otherwise(s["found"]))
+    found = let(first, lambda s: F.when(s["left"], larger(left, right)["found"]).otherwise(s["found"]))
     return let(found, lambda f: F.struct(F.array_intersect(f, left).alias("a"), F.array_except(f, left).alias("b")))
 
 
@@ -175,8 +179,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     doc_id, n_chars, edited, fingerprint, edited_fingerprint, changed (digests
     only in the edited text), lost (digests only in the document), near_edited,
     near_next.  A lone document follows itself; an empty table gives an empty
-    result.  Very long texts cost time in the square of their paragraphs over
-    PER_GROUP where they differ throughout, and memory in proportion.
+    result.  Time and memory grow in proportion to a text's paragraphs; rows
+    that repeat, and equal texts, have equal fingerprints.
     """
     rows = successors(docs).withColumn("n_chars", F.length("text").cast("long"))
     part = F.floor(F.col("n_chars") / 4).cast("int")

@@ -6,8 +6,10 @@ words.  Units are paired: a random transfer moves words between the two until
 one of them is whole, which keeps the pair's words and each unit's expected
 copies.  Pairing runs inside small buckets of one source; what is left open in
 each bucket, one unit at most, goes up a reduction tree until a source has one
-open unit, which a last draw settles.  So a source's words meet its target to
-within one document, and no task ever holds more than BUCKET units of a source.
+open unit, which a last draw settles.  That draw moves the source by up to a
+whole document, and pairing leaves the largest open; the root of the tree, which
+holds BUCKET units on the average, settles the difference over its other units,
+larger ones first, each by one copy at most.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ BROADCAST_SOURCES = 10_000
 #: Runs of white space that the size of a text does not count.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_UNIT = "doc_id long, source string, size long, whole long, mass double, u double, level int, copies long"
+_UNIT = "doc_id long, source string, size long, mark long, nth long, whole long, mass double, u double, level int, copies long"
+_KEPT = ["doc_id", "source", "size", "mark", "nth", "whole", "mass", "u", "level", "copies"]
 
 
 def word_count(text: F.Column) -> F.Column:
@@ -95,22 +98,36 @@ def pair_units(mass: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.nd
     return extra, open_at
 
 
-def _round_bucket(last: bool):
+def settle(copies: np.ndarray, size: np.ndarray, off: float, most: int) -> np.ndarray:
+    """Copies after one more or one less of some units, larger ones first, so that the words come nearer by off; 0 to most copies stay."""
+    out = copies.copy()
+    for k in np.argsort(-size, kind="stable"):
+        if size[k] and 2 * off >= size[k] and out[k] < most:
+            out[k] += 1
+            off -= size[k]
+        elif size[k] and 2 * off <= -size[k] and out[k] > 0:
+            out[k] -= 1
+            off += size[k]
+    return out
+
+
+def _round_bucket(last: bool, most: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # falling sizes: pairs are alike, and the unit left open at the end is a small one
-        rows = rows.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
+        rows = rows.sort_values(["size", "order", "doc_id", "mark", "nth"], ascending=[False, True, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
         mass, size, u = rows["mass"].to_numpy().copy(), rows["size"].to_numpy(), rows["u"].to_numpy()
+        whole, wanted = rows["whole"].to_numpy(), rows["mass"].sum()
         extra, left = pair_units(mass, size, u)
+        if left >= 0 and last:
+            extra[left] = (u[left] * 7919.0) % 1.0 * size[left] < mass[left]
         rows["mass"] = mass
-        rows["copies"] = rows["whole"] + extra
-        if left >= 0:
-            if last:
-                rows.loc[left, "copies"] = rows.loc[left, "whole"] + int((u[left] * 7919.0) % 1.0 * size[left] < mass[left])
-            else:
-                rows["copies"] = rows["copies"].astype("Int64")
-                rows.loc[left, "copies"] = pd.NA
+        rows["copies"] = whole + extra
+        if last:
+            rows["copies"] = settle(whole + extra, size, wanted - float((extra * size).sum()), most)
+        elif left >= 0:
+            rows["copies"] = rows["copies"].astype("Int64")
+            rows.loc[left, "copies"] = pd.NA
         rows["level"] = rows["level"] + 1
-        return rows[["doc_id", "source", "size", "whole", "mass", "u", "level", "copies"]]
+        return rows[_KEPT]
 
     return run
 
@@ -125,54 +142,67 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
     others by weight.  Returns one row per input row: doc_id, source, size,
     source_size, target, copies, taken (copies times size).  A document of
     size 0 has the whole part of its probability as copies and takes nothing.
-    Draws depend on seed, doc_id and size only, so reruns agree whatever the
-    partitioning; equal rows are interchangeable.  An empty table gives an
+    Draws depend on seed, doc_id, size and text, and on the place among equal
+    rows, so reruns agree whatever the partitioning; equal rows are
+    interchangeable.  Also returned: mark (the text's digest) and nth.  An empty table gives an
     empty result.
     """
-    base = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
+    # equal rows are counted, then told apart by number
+    base = base.groupBy(*base.columns).agg(F.count("*").alias("n")).select(*base.columns, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"))
+    base = durable(base, "sizes")
     targets = durable(source_targets(base, weights, cap), "targets")
     sources, most = targets.agg(F.count("*"), F.max("members")).first()
     side = targets.withColumnRenamed("source", "of")
-    joined = base.join(F.broadcast(side) if sources <= BROADCAST_SOURCES else side, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    few = F.broadcast if sources <= BROADCAST_SOURCES else lambda df: df
+    joined = base.join(few(side), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # whole part and fraction; a fraction within rounding of a whole number counts as one
     near = F.round(share)
     share = F.when(F.abs(share - near) < 1e-12, near).otherwise(share)
+    own = ("doc_id", "size", "mark", "nth")
     units = joined.select(
-        "doc_id", "source", "size", F.floor(share).cast("long").alias("whole"), ((share - F.floor(share)) * F.col("size")).alias("mass"),
-        ((F.xxhash64(F.lit(seed), "doc_id", "size").bitwiseAND((1 << 52) - 1)) / float(1 << 52)).alias("u"), F.lit(0).alias("level"), "members",
+        "doc_id", "source", "size", "mark", "nth", F.floor(share).cast("long").alias("whole"), ((share - F.floor(share)) * F.col("size")).alias("mass"),
+        ((F.xxhash64(F.lit(seed), *own).bitwiseAND((1 << 52) - 1)) / float(1 << 52)).alias("u"), F.lit(0).alias("level"), "members",
     )
     open_rows = units.where("mass > 0")
-    done = [units.where("not mass > 0").select("doc_id", "source", "size", "whole", "mass", "u", "level", F.col("whole").alias("copies"))]
-    level, most = 0, most or 0
+    done = [units.where("not mass > 0").withColumn("copies", F.col("whole")).select(*_KEPT)]
+    rounds, level, most = [], 0, most or 0
     while True:
         buckets = max(1, -(-most // BUCKET))
         mine = F.ceil(F.col("members") / BUCKET**(level + 1)).cast("long")
-        spread = open_rows.withColumn("order", F.xxhash64(F.lit(seed + 1 + level), "doc_id", "size")).withColumn(
-            "bucket", F.pmod(F.xxhash64(F.lit(seed + 1000 + level), "doc_id", "size"), F.greatest(mine, F.lit(1).cast("long")))
+        spread = open_rows.withColumn("order", F.xxhash64(F.lit(seed + 1 + level), *own)).withColumn(
+            "bucket", F.pmod(F.xxhash64(F.lit(seed + 1000 + level), *own), F.greatest(mine, F.lit(1).cast("long")))
         )
-        out = spread.groupBy("source", "bucket").applyInPandas(_round_bucket(buckets == 1), _UNIT)
-        out = durable(out, "mixed")
+        out = durable(spread.groupBy("source", "bucket").applyInPandas(_round_bucket(buckets == 1, int(cap)), _UNIT), "mixed")
+        rounds.append(out)
         done.append(out.where("copies is not null"))
         if buckets == 1:
             break
         rest = out.where("copies is null").drop("copies")
-        rest = rest.join(F.broadcast(side.select("of", "members")) if sources <= BROADCAST_SOURCES else side.select("of", "members"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        rest = rest.join(few(side.select("of", "members")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
         open_rows = rest.withColumn("u", (F.col("u") * 104729.0) % 1.0)
         most, level = buckets, level + 1
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
-    result = result.join(F.broadcast(side) if sources <= BROADCAST_SOURCES else side, F.col("source").eqNullSafe(F.col("of")), "left")
-    return result.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    result = result.join(few(side), F.col("source").eqNullSafe(F.col("of")), "left")
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    result = durable(result.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "copies", taken, "mark", "nth"), "taken")
+    for x in (base, targets, *rounds):
+        discard(x)
+    return result
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row repeated as often as mix_sources() draws it; columns as they are.
+    """docs with every row repeated as often as mix_sources() draws it; columns as they are, whatever their names.
 
-    Rows that share a doc_id take the most copies drawn for one of them.
+    Rows that share doc_id and text take the most copies drawn for one of them;
+    a null or empty text has no words and stays only where its source's whole
+    part is 1 or more.  An empty table gives an empty result.
     """
-    drawn = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("_drawn_id")).agg(F.max("copies").cast("int").alias("_drawn_copies")).where("_drawn_copies > 0")
-    joined = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_drawn_id"]))
-    times = F.explode(F.sequence(F.lit(1), drawn["_drawn_copies"])).alias("_drawn_time")
-    return joined.select(*[docs[c] for c in docs.columns], times).drop("_drawn_time")
+    drawn = mix_sources(docs, **options).groupBy("doc_id", "mark").agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = left.join(drawn, F.col("row")["doc_id"].cast("long").eqNullSafe(drawn["doc_id"]) & (F.xxhash64(F.col("row")["text"]) == drawn["mark"]))
+    rows = joined.select("row", F.explode(F.sequence(F.lit(1), drawn["copies"])).alias("time"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
