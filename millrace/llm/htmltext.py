@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.frames import discard, durable
+from millrace.llm.ordering import range_of, ranges
 
 # Names of HTML elements.
 _BLOCK = set(
@@ -34,12 +35,14 @@ _BLOCK = set(
 _VOID = set("area base basefont br col embed frame hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title xmp iframe noembed noframes".split())
 _DROP = set("nav footer aside form script style noscript template iframe button select textarea dialog menu svg canvas object audio video title head noembed noframes".split())
-# Words in class, id and role that name a page's frame.
+# Names in class, id and role that name a page's frame.
 _FRAME_WORDS = set(
     "ad ads adv advert advertisement advertising banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer "
     "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related respond search share sharing "
     "sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+# Those of them that name it also at the front of a longer name, as in ad-slot.
+_FRAME_FRONTS = set("ad ads advert comments cookie disqus footer navbar sidebar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -48,12 +51,20 @@ _SPACE = re.compile(r"\s+")
 FRAME, OUTSIDE, INSIDE = 0, 1, 2
 
 
+def _names_frame(name: str, inside: bool) -> bool:
+    """Whether one name of a class, id or role is a frame's: the name itself, the last word of it (site-footer), or a plain front (ad-slot)."""
+    words = _NAME.findall(name)
+    if not words or (inside and words[-1] == "header"):
+        return False
+    return words[-1] in _FRAME_WORDS or words[0] in _FRAME_FRONTS
+
+
 def _is_frame(tag: str, attrs: str, inside: bool) -> bool:
     if tag in _DROP or (tag == "header" and not inside):
         return True
     for name, *values in _ATTR.findall(attrs):
         value = "".join(values).lower()
-        if name.lower() in ("class", "id", "role") and not _FRAME_WORDS.isdisjoint(_NAME.findall(value)):
+        if name.lower() in ("class", "id", "role") and any(_names_frame(x, inside) for x in value.split()):
             return True
         if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
             return True
@@ -184,7 +195,8 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(before: dict | None, this: dict, after: dict | None) -> None:
         host = this["key"].partition("\x01")[0]
         near = [n for n in (before, after) if n and n["bucket"] == this["bucket"] and n["key"].partition("\x01")[0] == host]
-        best = max(near, key=lambda n: _common(n["key"], this["key"]), default=None)
+        place = this["key"].partition("\x02")[0]
+        best = max(near, key=lambda n: _common(n["key"].partition("\x02")[0], place), default=None)
         text = main_text(list(this["kinds"]), this["texts"], this["hashes"], best["hashes"] if best else [])
         out.append((this["page_id"], this["url"], text))
 
@@ -210,18 +222,16 @@ def extract(pages: DataFrame) -> DataFrame:
     that repeat are each other's neighbours and each keep their text.  Extra
     columns are ignored.  An empty table gives an empty result.
     """
-    spark = pages.sparkSession
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[^/?#]*://)?([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:[^/?#]*://)?[^/?#]*/?([^?#]*)", 1), r"(\.html)?/*$", "")
     # what orders pages: scheme, query, fragment and the path's last slash or .html don't count
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.concat(host, F.lit("\x01"), path).alias("key"), "html")
-    # bounds of ranges of the order, from the keys alone: at most four for each shuffle partition
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.concat(host, F.lit("\x01"), path, F.lit("\x02"), F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0")).alias("key"), "html")
+    # bounds of ranges of the order, from the keys alone; pages of one url are parted by their ids
+    n = ranges(pages)
     keys = durable(keyed.select("key").repartitionByRange(n, "key").withColumn("part", F.spark_partition_id()), "urls")
     bounds = sorted({r["k"] for r in keys.groupBy("part").agg(F.min("key").alias("k")).collect()})
-    cuts = F.lit(bounds).cast("array<string>") if bounds else F.array().cast("array<string>")
-    bucket = F.size(F.filter(cuts, lambda b: b <= F.col("key")))
+    bucket = range_of(F.col("key"), bounds, "string")
     edges = keys.withColumn("bucket", bucket).groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()
     discard(keys)
     ends = {r["bucket"]: (r["low"], r["high"]) for r in edges}

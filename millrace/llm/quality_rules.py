@@ -127,9 +127,12 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, lea
     replaced.  Without a trusted document every ratio is near 0 and the base
     rules decide.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", "_w", "_lines", "_h", "_tri")
-    docs = docs.drop(*made)
-    ratios = log_ratios(docs, trusted)
-    out = base_counts(docs.withColumn("llr", ratio_score(F.col("text"), ratios)))
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+    kept = [c for c in docs.columns if c not in made]
+    # columns of docs travel in a struct, where no name can clash
+    packed = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"), docs["text"].alias("text"))
+    ratios = log_ratios(docs.select("doc_id", "text"), trusted)
+    out = base_counts(packed.withColumn("llr", ratio_score(F.col("text"), ratios)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], *made)

@@ -188,6 +188,35 @@ def test_html():
     assert htmltext.main_text([1, 1, 1], ["Home", "body text that is long", "Foot"], [1, 2, 3], [1, 8, 3]) == "body text that is long"
 
 
+def test_html_names_that_only_hold_a_frame_word_stay():
+    page = '<article><div class="entry-header"><h1>Head</h1></div><p class="share-price">One euro</p><div class="search-results">Found</div><div class="post ad-slot">buy</div></article><div id="site-footer">foot</div>'
+    assert [t for k, t in htmltext.page_lines(page) if k != htmltext.FRAME] == ["Head", "One euro", "Found"]
+
+
+def test_shared_lines_are_a_longest_common_subsequence():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (rng.integers(0, 6, rng.integers(0, 14)).tolist() for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        found = sorted(htmltext.shared_lines(a, b))
+        left = iter(b)
+        assert len(found) == best[-1][-1] and all(any(y == a[i] for y in left) for i in found)
+
+
+def test_range_of(spark):
+    from millrace.llm import ordering
+
+    for n in (0, 1, 255, 256, 257, 1500):
+        bounds = list(range(0, 3 * n, 3))
+        rows = spark.range(0, 3 * n + 5, 7).select("id", ordering.range_of(F.col("id"), bounds, "bigint").alias("r")).collect()
+        assert all(r["r"] == sum(b <= r["id"] for b in bounds) for r in rows)
+
+
 def test_html_table(spark):
     rows = [(1, "http://h/a/1", "<div>Frame</div><div>first text of the site</div>"), (2, "http://h/a/2", "<div>Frame</div><div>second text of the site</div>"), (3, None, None), (4, "x", "")]
     found = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
