@@ -1,7 +1,7 @@
 """Document fingerprints by an invertible Bloom lookup sketch of paragraph digests.
 
-A text's paragraphs are its lines, cut further at sentence ends, so that a text
-of one line has paragraphs too.  Each paragraph's 64-bit digest (48 bits of hash, 16 bits
+A text's paragraphs are its lines, long lines being cut further at sentence
+ends that a content rule picks (most of them), so that a text of one line has paragraphs too.  Each paragraph's 64-bit digest (48 bits of hash, 16 bits
 that check them) goes to one cell in each of three sub-tables of 16 cells; a
 cell holds the exclusive or of its digests.  The sketch of one version minus
 that of another holds only the paragraphs that differ, and peeling recovers
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.ordering import by_ranges, order_key
 
-SLOTS = 16
+SLOT_BITS = 4
+SLOTS = 1 << SLOT_BITS
 CELLS = 3 * SLOTS
 #: Differing paragraphs that a group of a larger sketch is meant for.
 PER_GROUP = 20
@@ -30,8 +31,8 @@ TRIES = 24
 _SWEEPS = 16
 _HIGH = -65536
 _KEYS = "array<bigint>"
-#: Ends of paragraphs: line ends, bars, and sentence ends before a blank.
-PARAGRAPH_END = r"\n+|(?<=[.!?;|])\s+"
+#: Ends of paragraphs: line ends, and sentence ends before a word with one of most first letters.
+PARAGRAPH_END = r"\n+|(?<=[.!?;|])\s+(?=[A-PÀ-Ïa-p])"
 
 
 def let(value: Column, body) -> Column:
@@ -56,12 +57,8 @@ def _slots(p: Column) -> list[Column]:
 
 
 def _put(cells: Column, key: Column, p: Column) -> Column:
-    """cells with a digest put into, or taken out of, its three cells."""
-    i, j, k = _slots(p)
-    return let(
-        F.struct(i.alias("i"), j.alias("j"), k.alias("k")),
-        lambda s: F.transform(cells, lambda x, c: F.when((c == s["i"]) | (c == s["j"]) | (c == s["k"]), x.bitwiseXOR(key)).otherwise(x)),
-    )
+    """cells with a digest put into, or taken out of, its three cells, one in each sub-table."""
+    return let(F.array(*_slots(p)), lambda s: F.transform(cells, lambda x, c: F.when(F.get(s, F.shiftright(c, SLOT_BITS)) == c, x.bitwiseXOR(key)).otherwise(x)))
 
 
 def _empty() -> Column:
