@@ -31,6 +31,11 @@ class reducers:
     any = Reducer(F.bool_or, lambda a, b: a | b)
     product = Reducer(F.product, lambda a, b: a * b)
 
+    @staticmethod
+    def sums(*fields: str) -> Reducer:
+        """The sums of several fields of a struct."""
+        return Reducer(lambda v: F.struct(*[F.sum(v[f]).alias(f) for f in fields]), lambda a, b: F.struct(*[(a[f] + b[f]).alias(f) for f in fields]))
+
 
 def ordered(value: Column, order: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """Left-to-right reduction of value in the order of order; ties by value. Nulls are values like others."""

@@ -21,17 +21,6 @@ if TYPE_CHECKING:
     from millrace.operators.keyed import Keyed
 
 
-def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set = set()
-    for batch in batches:
-        keep = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            key = repr(row)
-            keep.append(key not in seen)
-            seen.add(key)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 class Collection:
     """Rows with named columns; every transformation gives a new Collection and runs nothing."""
 
@@ -100,8 +89,10 @@ class Collection:
         return Collection(self._df.distinct())
 
     def distinct_within_partitions(self) -> Collection:
-        """Each partition's rows without duplicates, the first occurrence kept; no shuffle."""
-        return Collection(self._df.mapInArrow(_first_seen, self._df.schema))
+        """Each partition's rows without duplicates; partitions are told apart by their number, so memory is bounded by spilling."""
+        names = self._df.columns
+        numbered = self._df.select(F.struct(*[self._df[n] for n in names]).alias("row"), F.spark_partition_id().alias("part"))
+        return Collection(numbered.distinct().select("row.*"))
 
     # order
 
@@ -130,6 +121,10 @@ class Collection:
         """n partitions dealt by the keys, which a later grouping by them reuses."""
         return Collection(self._df.repartition(n, *keys))
 
+    def partition_by_id(self, n: int, number: Column) -> Collection:
+        """n partitions, each row in the one that number says (from 0; others wrap around, null goes to 0): a partitioner of one's own."""
+        return Collection(self._df.repartitionById(n, F.coalesce(F.pmod(number, F.lit(n)), F.lit(0)).cast("int")))
+
     def partition_by_range(self, n: int, *keys: Column | str) -> Collection:
         return Collection(self._df.repartitionByRange(n, *keys))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows of a side that an explicit broadcast join sends to all executors.
+#: Most rows of a side that an explicit broadcast join sends to all executors, and most bytes by the plan's own estimate.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 256 << 20
 
 
 def inner(left: DataFrame, right: DataFrame, hint: str | None, hint_left: bool = False) -> DataFrame:
@@ -26,14 +27,38 @@ def choose(left_rows: int, right_rows: int, broadcast_rows: int, enable_sort_mer
     return "merge" if enable_sort_merge else "shuffle_hash"
 
 
+def rows_up_to(df: DataFrame, most: int) -> int:
+    """The number of rows, or most + 1 if there are more: no more are counted."""
+    return df.select(F.lit(1)).limit(most + 1).count()
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """The size that the optimizer expects df to have; None where it doesn't know, as for rows from memory."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
+def text_bytes(df: DataFrame) -> int:
+    """The length of all rows as JSON, which is measured by reading them."""
+    return df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+
+
 def by_rows(left: DataFrame, right: DataFrame, broadcast_rows: int, enable_sort_merge: bool) -> DataFrame:
-    n, m = left.count(), right.count()
+    n, m = rows_up_to(left, broadcast_rows), rows_up_to(right, broadcast_rows)
     return inner(left, right, choose(n, m, broadcast_rows, enable_sort_merge), hint_left=n <= m)
 
 
-def broadcast_smaller(left: DataFrame, right: DataFrame, max_rows: int) -> DataFrame:
-    n, m = left.count(), right.count()
-    return inner(left, right, "broadcast" if min(n, m) <= max_rows else "merge", hint_left=n <= m)
+def broadcast_smaller(left: DataFrame, right: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast of the side with the smaller plan, if its rows are counted to be few and its bytes expected to be; else a sort-merge join."""
+    sizes = [plan_bytes(left), plan_bytes(right)]
+    if None in sizes:
+        n, m = rows_up_to(left, max_rows), rows_up_to(right, max_rows)
+        small = left if n <= m else right
+        fits = min(n, m) <= max_rows and text_bytes(small) <= max_bytes
+    else:
+        small = left if sizes[0] <= sizes[1] else right
+        fits = min(sizes) <= max_bytes and rows_up_to(small, max_rows) <= max_rows
+    return inner(left, right, "broadcast" if fits else "merge", hint_left=small is left)
 
 
 def cogroup(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ class Keyed(Collection):
         return Collection(joins.inner(self.df, other.df, "merge"))
 
     def broadcast_join(self, other: Keyed, max_rows: int = joins.BROADCAST_ROWS) -> Collection:
-        """Inner join with the smaller side broadcast, if it has max_rows at most; else a sort-merge join."""
+        """Inner join with the smaller side broadcast, if it has max_rows at most and its bytes are few; else a sort-merge join."""
         return Collection(joins.broadcast_smaller(self.df, other.df, max_rows))
 
     def cogroup(self, other: Keyed) -> Collection:

@@ -303,7 +303,7 @@ def group_by_key_action(spark: SparkSession, d: str) -> DataFrame:
 def multi_shuffle_pipeline(spark: SparkSession, d: str) -> DataFrame:
     per_order = _t(spark, d, "lineitem").key_by(F.col("l_orderkey"), F.lit(1)).reduce_by_key(reducers.sum)
     orders = _t(spark, d, "orders").key_by(F.col("o_orderkey"), F.col("o_custkey"))
-    by_customer = per_order.join(orders).key_by(F.col("w"), F.col("v")).group_by_key()
-    return by_customer.map(
-        F.col("k").alias("o_custkey"), items=F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x), orders=F.size("v").cast("long")
-    ).df
+    of_customer = per_order.join(orders)
+    items = of_customer.key_by(F.col("w"), F.struct(F.col("v").cast("long").alias("items"), F.lit(1).cast("long").alias("orders")))
+    sums = items.reduce_by_key(reducers.sums("items", "orders"))
+    return sums.map(F.col("k").alias("o_custkey"), items=F.col("v.items"), orders=F.col("v.orders")).df

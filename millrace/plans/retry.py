@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import TypeVar
 
+from pyspark.sql import SparkSession
+
 T = TypeVar("T")
 
 
@@ -45,3 +49,27 @@ def run_with_retry(job: Callable[[], T], policy: RetryPolicy = RetryPolicy(), sl
             if not policy.should_retry(attempt, error):
                 raise
             sleep(policy.delay_ms(attempt) / 1000)
+
+
+def run_with_limit(spark: SparkSession, job: Callable[[], T], limit_ms: int) -> T:
+    """The job's result; TimeoutError when it takes longer, and its Spark jobs are cancelled then."""
+    group, late = f"limit-{uuid.uuid4().hex}", threading.Event()
+    context = spark.sparkContext
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    context.setJobGroup(group, "job with a time limit", interruptOnCancel=True)
+    timer = threading.Timer(limit_ms / 1000, stop)
+    timer.start()
+    try:
+        return job()
+    except Exception as error:
+        if late.is_set():
+            raise TimeoutError(f"the job took more than {limit_ms} ms") from error
+        raise
+    finally:
+        timer.cancel()
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(key, None)

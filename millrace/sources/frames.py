@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
+from typing import Any
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -34,6 +38,28 @@ def from_frame(df: DataFrame) -> Collection:
     return Collection(df)
 
 
+@dataclass(frozen=True)
+class Shared:
+    """A value that every executor gets once; value reads it anywhere, destroy() takes it away."""
+
+    held: Broadcast
+
+    @property
+    def value(self) -> Any:
+        return self.held.value
+
+    def destroy(self) -> None:
+        self.held.destroy()
+
+
+def share(spark: SparkSession, value: Any, max_bytes: int = 64 << 20) -> Shared:
+    """A broadcast of a plain value; ValueError when it is larger than max_bytes, as every executor holds all of it."""
+    size = len(pickle.dumps(value, pickle.HIGHEST_PROTOCOL))
+    if size > max_bytes:
+        raise ValueError(f"a shared value of {size} bytes is above max_bytes = {max_bytes}")
+    return Shared(spark.sparkContext.broadcast(value))
+
+
 def read(spark: SparkSession, path: str, format: str = "parquet", schema: StructType | str | None = None, **options) -> Collection:
     """A file source; filters and column choices made later reach the scan."""
     reader = spark.read.format(format).options(**options)

@@ -133,3 +133,68 @@ def test_retry_policy():
 def test_conf():
     c = m.EngineConf(max_task_retries=5)
     assert c.spark_conf()["spark.task.maxFailures"] == "6" and c.spark_conf()["spark.sql.shuffle.partitions"] == "4" and c.local_master() == "local[4,6]"
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_ordered_reduce_and_skewed_sort(spark, parts):
+    letters = m.from_rows(spark, [(0, "a"), (1, "b"), (2, "c")], "i int, s string", parts)
+    assert letters.reduce_ordered(F.col("s"), F.col("i"), lambda a, b: F.concat(a, b)) == "abc"
+    values = [0] * 500 + list(range(1, 1001)) + [1000] * 300 + list(range(200, 401))
+    assert [r[0] for r in ints(spark, values, parts).sort_by("x").collect()] == sorted(values) and len(values) == 2001
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_struct_values_and_unrelated_shuffle(spark, parts):
+    people = pairs(spark, [("d1", ("Alice", 25)), ("d2", ("Bob", 30)), ("d1", ("Charlie", 35)), ("d2", ("Diana", 28))], parts, "k string, v struct<name:string,age:int>")
+    found = {r["k"]: [tuple(p) for p in r["v"]] for r in people.group_by_key().collect()}
+    assert found == {"d1": [("Alice", 25), ("Charlie", 35)], "d2": [("Bob", 30), ("Diana", 28)]}
+    other = pairs(spark, [("z", 1), ("z", 2)], parts).group_by_key().map(k, F.get("v", F.lit(0)).alias("v"), F.get("v", F.lit(1)).alias("w"))
+    both = other.union(pairs(spark, [("a", 1)], parts).join(pairs(spark, [("a", 2)], parts)))
+    assert got(both).count(("a", 1, 2)) == 1 and both.count() == 2
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_partition_chains(spark, parts):
+    import pyarrow as pa
+
+    def total(batches):
+        yield pa.RecordBatch.from_pydict({"x": pa.array([sum(sum(b.column(0).to_pylist()) for b in batches)], pa.int32())})
+
+    assert sum(got(ints(spark, range(1, 6), 1).map_partitions_py(total, "x int"))) == 15
+    c = ints(spark, [1, 2, 3, 4, 5], parts)
+    assert got(c.repartition(3)) == got(c.coalesce(3)) == [1, 2, 3, 4, 5]
+    assert sum(got(ints(spark, range(1, 31), parts).map_partitions_py(total, "x int").repartition(7).coalesce(3))) == 465
+
+
+def test_partition_by_id_and_distinct_within(spark):
+    c = ints(spark, [0, 1, 2, 3, 4, 5, 6, 7, -1], 3).partition_by_id(4, x)
+    rows = c.df.select("x", F.spark_partition_id().alias("p")).collect()
+    assert c.num_partitions == 4 and all(r["p"] == r["x"] % 4 for r in rows)
+    twice = m.from_partitions(spark, [[1, 1, 2], [1, 2, 2]], "x int").distinct_within_partitions()
+    assert got(twice) == [1, 1, 2, 2]
+
+
+def test_shared_value_and_limits(spark):
+    shared = m.share(spark, {1: "one"})
+    assert got(ints(spark, [1], 1).map_py(lambda r: (shared.value[r[0]],), "y string")) == ["one"]
+    shared.destroy()
+    with pytest.raises(ValueError):
+        m.share(spark, "x" * 100, max_bytes=50)
+    assert m.run_with_limit(spark, lambda: spark.range(10).count(), 60000) == 10
+    with pytest.raises(TimeoutError):
+        m.run_with_limit(spark, lambda: spark.range(4).select(F.udf(lambda i: __import__("time").sleep(20) or 1, "int")("id")).collect(), 1500)
+
+
+def test_conf_builds_a_policy_and_isolated_sessions(spark):
+    conf = m.EngineConf(max_task_retries=2, base_retry_delay_ms=5, max_retry_delay_ms=9, default_shuffle_partitions=3)
+    assert conf.retry_policy() == m.RetryPolicy(2, 5, 9) and "spark.network.timeout" not in conf.spark_conf()
+    own = m.isolated(spark, conf)
+    assert own.conf.get("spark.sql.shuffle.partitions") == "3" != spark.conf.get("spark.sql.shuffle.partitions")
+
+
+def test_broadcast_goes_by_bytes_too(spark):
+    a, b = pairs(spark, [("a", 1)]), pairs(spark, [("a", 2)])
+    assert inspect.join_strategy(joins.broadcast_smaller(a.df, b.df, 10)) == "BroadcastHashJoin"
+    assert joins.rows_up_to(spark.range(100), 7) == 8
+    wide = joins.broadcast_smaller(a.df, b.df, 10, max_bytes=1)
+    assert "merge" in wide._jdf.queryExecution().analyzed().toString() and got(m.from_frame(wide)) == [("a", 1, 2)]
