@@ -24,7 +24,7 @@ class EngineConf:
     max_retry_delay_ms: int = 30000
     enable_lineage_recovery: bool = True  # Spark always recomputes lost partitions
     task_timeout_ms: int = 300000  # of a job; see run_with_limit
-    sort_max_sample: int = 100000  # no Spark setting bounds the whole sample of a sort
+    sort_max_sample: int = 20000  # no Spark setting bounds the whole sample of a sort
     enable_speculative_execution: bool = False
     speculative_execution_threshold: float = 1.5
 
