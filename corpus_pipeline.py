@@ -36,7 +36,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keeps its own, rows without one come last.  An empty table stays empty.
     """
     done = linededup.drop_repeats(docs)
-    done = done.where((F.size("removed_spans") == 0) | (F.trim("text", F.lit(" \t\r\n")) != "")).withColumn("n_chars", F.length("text").cast("long"))
+    done = done.where((F.size("removed_spans") == 0) | (F.trim("text", F.lit(" \t\r\n")) != "")).withColumn("n_chars", F.when(F.size("removed_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 

@@ -8,8 +8,8 @@ copies.  Pairing runs inside small buckets of one source; what is left open in
 each bucket, one unit at most, goes up a reduction tree until a source has one
 open unit, which a last draw settles.  That draw moves the source by up to a
 whole document, and pairing leaves the largest open; the root of the tree, which
-holds BUCKET units on the average, settles the difference over its other units,
-larger ones first, each by one copy at most.
+holds BUCKET units on the average, settles the difference over its units,
+larger ones first and by one copy each where that is enough.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from millrace.llm.frames import discard, durable
 
 #: Units of one source that one bucket of the tree pairs, on the average.
 BUCKET = 1024
+#: Part of a source's target that may stay unmet before units change by several copies.
+NEAR = 0.005
 #: Sources up to which the table of targets is broadcast (a few dozen bytes each); more are joined by key.
 BROADCAST_SOURCES = 10_000
 #: Runs of white space that the size of a text does not count.
@@ -98,17 +100,19 @@ def pair_units(mass: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.nd
     return extra, open_at
 
 
-def settle(copies: np.ndarray, size: np.ndarray, off: float, most: int) -> np.ndarray:
-    """Copies after one more or one less of some units, larger ones first, so that the words come nearer by off; 0 to most copies stay."""
+def settle(copies: np.ndarray, size: np.ndarray, off: float, most: int, near: float, fixed: int = -1) -> tuple[np.ndarray, float]:
+    """Copies changed so that the words come nearer by off, and what is still off; larger units go first, 0 to most copies stay.
+
+    Every unit but the fixed one changes by one copy at most; where that leaves more than near, by any number.
+    """
     out = copies.copy()
-    for k in np.argsort(-size, kind="stable"):
-        if size[k] and 2 * off >= size[k] and out[k] < most:
-            out[k] += 1
-            off -= size[k]
-        elif size[k] and 2 * off <= -size[k] and out[k] > 0:
-            out[k] -= 1
-            off += size[k]
-    return out
+    for steps in (1, most):
+        for k in np.argsort(-size, kind="stable"):
+            if k != fixed and size[k] and abs(off) > near * (steps > 1):
+                n = int(np.clip(np.rint(off / size[k]), max(-steps, -out[k]), min(steps, most - out[k])))
+                out[k] += n
+                off -= n * size[k]
+    return out, abs(off)
 
 
 def _round_bucket(last: bool, most: int):
@@ -117,12 +121,21 @@ def _round_bucket(last: bool, most: int):
         mass, size, u = rows["mass"].to_numpy().copy(), rows["size"].to_numpy(), rows["u"].to_numpy()
         whole, wanted = rows["whole"].to_numpy(), rows["mass"].sum()
         extra, left = pair_units(mass, size, u)
-        if left >= 0 and last:
-            extra[left] = (u[left] * 7919.0) % 1.0 * size[left] < mass[left]
         rows["mass"] = mass
         rows["copies"] = whole + extra
         if last:
-            rows["copies"] = settle(whole + extra, size, wanted - float((extra * size).sum()), most)
+            near = NEAR * (wanted + float((whole * size).sum()))
+            if left >= 0:
+                extra[left] = (u[left] * 7919.0) % 1.0 * size[left] < mass[left]
+            copies, off = whole + extra, wanted - float((extra * size).sum())
+            best = settle(copies, size, off, most, near)
+            # the largest unit may have to give way where the others have no room
+            for step in (1, -1) if best[1] > near else ():
+                if 0 <= copies[0] + step <= most:
+                    moved = copies.copy()
+                    moved[0] += step
+                    best = min(best, settle(moved, size, off - step * size[0], most, near, 0), key=lambda x: x[1])
+            rows["copies"] = best[0]
         elif left >= 0:
             rows["copies"] = rows["copies"].astype("Int64")
             rows.loc[left, "copies"] = pd.NA
