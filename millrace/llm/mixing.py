@@ -130,7 +130,7 @@ def _round_bucket(last: bool, most: int):
             copies, off = whole + extra, wanted - float((extra * size).sum())
             best = settle(copies, size, off, most, near)
             # the largest unit may have to give way where the others have no room
-            for step in (1, -1) if best[1] > near else ():
+            for step in (0, 1, -1) if best[1] > near else ():
                 if 0 <= copies[0] + step <= most:
                     moved = copies.copy()
                     moved[0] += step
