@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.frames import discard, durable
-from millrace.llm.textbytes import flat, slices
+from millrace.llm.textbytes import flat, lean, slices
 
 #: Mean bytes between two cuts is 2**CUT_BITS.
 CUT_BITS = 9
@@ -275,14 +275,14 @@ def shared_chunks(docs: DataFrame, path: str, most: int = SHARED) -> pa.Table:
     bytes move, and one task encodes each.  Digests choose, bytes decide: a
     chunk is looked up by its bytes.
     """
-    counted = docs.select("text").mapInArrow(_count_chunks, "digest long, n long, size long").groupBy("digest").agg(F.sum("n").alias("n"), F.min("size").alias("size")).where("n > 1")
+    counted = docs.select("text").mapInArrow(lean(_count_chunks), "digest long, n long, size long").groupBy("digest").agg(F.sum("n").alias("n"), F.min("size").alias("size")).where("n > 1")
     top = counted.orderBy(((F.col("n") - 1) * F.col("size")).desc(), "digest").limit(most).select("digest").collect()
     kind = "raw binary, head string, ids binary, tail string, first string, last string"
     if not top:
         return docs.sparkSession.createDataFrame([], kind).toArrow()
     wanted = docs.sparkSession.sparkContext.broadcast([r["digest"] for r in top])
-    raws = durable(docs.select("text").mapInArrow(_fetch_chunks(wanted), "digest long, raw binary").groupBy("digest").agg(F.min("raw").alias("raw")), "chunks")
-    made = raws.select("raw").mapInArrow(_encode_chunks(path), kind).toArrow()
+    raws = durable(docs.select("text").mapInArrow(lean(_fetch_chunks(wanted)), "digest long, raw binary").groupBy("digest").agg(F.min("raw").alias("raw")), "chunks")
+    made = raws.select("raw").mapInArrow(lean(_encode_chunks(path)), kind).toArrow()
     discard(raws)
     return made
 
@@ -305,5 +305,5 @@ def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
     """
     table = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, shared))
     packed = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), "text")
-    out = packed.mapInArrow(_encode(path, table), f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
+    out = packed.mapInArrow(lean(_encode(path, table)), f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
     return out.select(*[F.col("row")[c].alias(c) for c in keep], "ids", "decoded")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.frames import components, discard, durable
-from millrace.llm.textbytes import distinct_sets, flat, lower_ascii, mix64, shingle_hashes, slices, word_hashes
+from millrace.llm.textbytes import distinct_sets, flat, lean, lower_ascii, mix64, shingle_hashes, slices, word_hashes
 
 #: Cells of the frequency sketch: its size is fixed, whatever the corpus.
 SKETCH_BITS = 18
@@ -183,7 +183,7 @@ def _frequency_sketch(blobs: DataFrame) -> np.ndarray:
     parts, passed = blobs.count(), []
     while parts > 1:
         parts = -(-parts // FAN_IN)
-        blobs = durable(blobs.repartition(parts).mapInArrow(_sum_sketches, "sketch binary"), "sketch")
+        blobs = durable(blobs.repartition(parts).mapInArrow(lean(_sum_sketches), "sketch binary"), "sketch")
         passed.append(blobs)
     rows = blobs.collect()
     for x in passed:
@@ -428,11 +428,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     spark = docs.sparkSession
     # mark is the text's own digest: it leads from a set back to its text, whatever the doc_ids
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("mark"), "text")
-    scan = durable(docs.mapInArrow(_scan(words), "doc_id long, mark binary, n_shingles long, set_id binary, sketch binary"), "scan")
+    scan = durable(docs.mapInArrow(lean(_scan(words)), "doc_id long, mark binary, n_shingles long, set_id binary, sketch binary"), "scan")
     rows = scan.where("sketch is null").select("doc_id", "mark", "n_shingles", "set_id")
     sketch = spark.sparkContext.broadcast(rarity(_frequency_sketch(scan.where("sketch is not null").select("sketch"))))
 
-    index = durable(docs.mapInArrow(_index(words, t, sketch), "key long, set_id binary"), "index")
+    index = durable(docs.mapInArrow(lean(_index(words, t, sketch)), "key long, set_id binary"), "index")
     mark = F.xxhash64("set_id")
     shared = index.groupBy("key").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a < b").select("key")
     members = durable(index.join(shared, "key").distinct(), "members")
@@ -440,14 +440,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     wanted = members.select("set_id").distinct().join(rows.where("set_id is not null").groupBy("set_id").agg(F.min("mark").alias("mark")), "set_id")
     texts = docs.join(wanted, "mark").dropDuplicates(["set_id"])
-    sets = durable(texts.select("set_id", "text").mapInArrow(_sets(words), "set_id binary, tokens binary, sign binary, print binary"), "sets")
+    sets = durable(texts.select("set_id", "text").mapInArrow(lean(_sets(words)), "set_id binary, tokens binary, sign binary, print binary"), "sets")
     tokens, signs = sets.select("set_id", "tokens"), sets.select("set_id", "sign")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs (x, y): signatures are compared first, whole sets after that."""
-        first = pairs.join(signs.toDF("x", "x_sign"), "x").join(signs.toDF("y", "y_sign"), "y").mapInArrow(_possible(t), "x binary, y binary")
+        first = pairs.join(signs.toDF("x", "x_sign"), "x").join(signs.toDF("y", "y_sign"), "y").mapInArrow(lean(_possible(t)), "x binary, y binary")
         both = durable(first, "possible")
-        out = durable(both.join(tokens.toDF("x", "x_tokens"), "x").join(tokens.toDF("y", "y_tokens"), "y").mapInArrow(_verify(t), "a binary, b binary"), "near")
+        out = durable(both.join(tokens.toDF("x", "x_tokens"), "x").join(tokens.toDF("y", "y_tokens"), "y").mapInArrow(lean(_verify(t)), "a binary, b binary"), "near")
         discard(both)
         return out
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.textbytes import STEP_BYTES, byte_ngrams, flat, gram_sums, slices
+from millrace.llm.textbytes import STEP_BYTES, byte_ngrams, flat, gram_sums, lean, slices
 
 #: Labelled texts in the training sample, over all languages.
 SAMPLE = 2400
@@ -212,7 +212,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, most_langs: int = 200) -> M
     rates = F.map_from_arrays(F.lit(list(counts)), F.lit([min(1.0, each / n) for n in counts.values()]))
     rate = F.try_element_at(rates, F.col("lang"))
     draw = F.xxhash64(F.lit("lang sample"), "doc_id").bitwiseAND((1 << 52) - 1) / float(1 << 52)
-    rows = labelled.where(draw < rate).select("lang", "text").mapInArrow(_features, "lang string, freq binary").collect()
+    rows = labelled.where(draw < rate).select("lang", "text").mapInArrow(lean(_features), "lang string, freq binary").collect()
     rows.sort(key=lambda r: (r["lang"], xxhash.xxh3_128_digest(r["freq"])))
     langs, freq = [r["lang"] for r in rows], np.zeros((len(rows), 1 << BITS), np.float32)
     for i, r in enumerate(rows):
@@ -262,7 +262,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     packed = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), "text")
-    out = packed.mapInArrow(_predict(shared, reject), f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    out = packed.mapInArrow(lean(_predict(shared, reject)), f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(*[F.col("row")[c].alias(c) for c in keep], "lang_pred", "score")
 
 
@@ -286,4 +286,4 @@ def known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFra
     gives an empty result.  Every row travels once, whatever its columns.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_known(shared, least), docs.schema)
+    return docs.mapInArrow(lean(_known(shared, least)), docs.schema)

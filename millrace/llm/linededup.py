@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.frames import discard, durable
-from millrace.llm.textbytes import slices
+from millrace.llm.textbytes import lean, slices
 
 #: Words of a unit: shorter repeats, such as a licence line or a stock phrase, are no copied passage.
 MIN_WORDS = 25
@@ -138,7 +138,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     document.  Null texts have no units; a null doc_id ranks last.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    rows = durable(docs.mapInArrow(_emit(min_words), _UNIT), "units")
+    rows = durable(docs.mapInArrow(lean(_emit(min_words)), _UNIT), "units")
     place = F.coalesce("doc_id", F.lit(2**63 - 1))
     key = ["high", "low"]
     # the least doc_id of every digest that comes again, then the least mark of its rows
@@ -172,5 +172,5 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     joined = left.join(spans, left["id"].eqNullSafe(spans["doc_id"]) & (F.xxhash64(left["text"]) == spans["mark"]), "left")
     packed = joined.select("row", "text", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
     row = packed.schema["row"].dataType.simpleString()
-    done = packed.mapInArrow(_apply, f"row {row}, text string, spans {kind}")
+    done = packed.mapInArrow(lean(_apply), f"row {row}, text string, spans {kind}")
     return done.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.col("spans").alias("removed_spans"))

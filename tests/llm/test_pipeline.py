@@ -1,14 +1,17 @@
 """The pipeline's stages and the registered queries on small tables, held against plain Python."""
 
+import os
+import platform
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from millrace.llm import linededup
+from millrace.llm import linededup, textbytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, gone long, spans string"
 PARTS = {"en": "thing the nder other with that", "de": "sch und ein lich keit nicht", "fr": "eau les oui que elle de", "es": "cion los que para ado con"}
@@ -121,3 +124,19 @@ def test_one_large_document_of_a_source(spark):
     table = [(i, "w " * s, "big") for i, s in enumerate(sizes)] + [(100 + i, "w " * 500, f"o{i % 2}") for i in range(60)]
     found = [r for r in mixing.mix_sources(spark.createDataFrame(table, "doc_id long, text string, source string")).collect() if r["source"] == "big"]
     assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 100
+
+
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="other C libraries return memory in their own ways")
+def test_a_worker_gives_back_a_task_s_memory():
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGESIZE") / 1e6
+
+    def run(batches):
+        held = [bytes(1000) for _ in range(100_000)]
+        last.append(held.pop())  # on top of what is freed
+        yield from batches
+
+    last: list[bytes] = []
+    before = resident()
+    assert list(textbytes.lean(run)([1, 2])) == [1, 2]
+    assert resident() < before + 30
