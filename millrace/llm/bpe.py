@@ -12,7 +12,7 @@ together with the words before and behind it, and their tokens must agree
 exactly with those that the chunks have.  Where they don't, as with a tokenizer
 that joins characters across blanks, the whole text is encoded anew.
 
-The tables of a task (chunks and words) are bounded and end with it; a full
+The tables of a task (chunks, and runs of letters or signs or whole words) are bounded and end with it; a full
 table starts anew, which costs time and never changes a result.
 """
 
@@ -42,10 +42,13 @@ CHUNKS = 5_000
 WORDS = 100_000
 
 _BLANK = re.compile(r"[ \t\n\r]+")
+_BLANKS = " \t\n\r"
 _GEAR = np.random.default_rng(99).integers(0, 2**32, 256, dtype=np.uint32)
-#: Letters, then signs, whose tokens may be looked up apart from each other if the tokenizer shows that it parts them.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$#]*)\Z")
-_PROBES = ("word", "Word", "WORDS.", "ÈÉäöü", "straßeÿ!!", "a,", "Zz$$$", "éèê;:", "ÀÖØÞ#*?")
+#: Runs of letters and of signs, whose tokens may be looked up apart from each other if the tokenizer shows that it parts them.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"""!"#$%&()*+,\-./:;=?|"""
+_RUN = re.compile(f"[{_LETTERS}]+|[{_SIGNS}]+")
+_OTHER = re.compile(f"[^{_LETTERS}{_SIGNS}{_BLANKS}]")
+_PROBES = ("word", "Word", "WORDS.", "ÈÉäöü", "straßeÿ!!", "a,", "Zz$$$", "éèê;:", "ÀÖØÞ#*?", "(word)", '"Zz"', "a-b", "x|y", "|", "%&é", "a/b.c", "+=x", "...", "#a")
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -62,54 +65,74 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.union1d(ends, offsets)
 
 
+class _Words(dict):
+    """Tokens by piece or run; those of a run are made when it is first asked for.  A full table starts anew."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def keep(self, text: str, ids: bytes) -> bytes:
+        if len(self) >= WORDS:
+            self.clear()
+        self[text] = ids
+        return ids
+
+    def __missing__(self, run: str) -> bytes:
+        return self.keep(run, self.make(run))
+
+
+def _made_run(model):
+    """Gives the tokens of lower-case letters, or of signs, straight from the merges."""
+    letters = _byte_letters()
+    return lambda run: array("i", [x.id for x in model.tokenize(run if run.isascii() else run.translate(letters))]).tobytes()
+
+
 class Encoder:
     """Encodes texts with one tokenizer file, keeping what it has met before; shared: entries of chunk() by chunk."""
 
     def __init__(self, path: str, shared: dict[bytes, tuple] | None = None):
         self.tokenizer = _tokenizer(path)
-        self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {"": b""}
+        make = _made_run(self.tokenizer.model)
+        self.words = _Words(make)
         self.chunks: dict[bytes, tuple] = {}
         self.shared = shared or {}
         self.reused = self.made = self.anew = 0
-        self.letters, self.vocabulary = _byte_letters(), _vocabulary(path)
-        self.plain = True
-        self.plain = all(self._parted(x) == self._encoded(x) for x in _PROBES)
+        self.vocabulary = _vocabulary(path)
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = all(map(_OTHER.search, added)) and all(self._runs(x) == self._encoded(x) for x in _PROBES)
+        if not self.plain:
+            self.words = _Words(make)
 
     def _encoded(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, text: str) -> bytes:
-        """The tokens of lower-case letters, or of signs, straight from the merges."""
-        return array("i", [x.id for x in self.model.tokenize(text.translate(self.letters))]).tobytes()
-
-    def _keep(self, text: str, ids: bytes) -> bytes:
-        if len(self.words) >= WORDS:
-            self.words = {"": b""}
-        self.words[text] = ids
-        return ids
-
-    def _parted(self, text: str) -> bytes:
-        """The tokens of letters, then of signs, each worked out once."""
-        letters, signs = _PLAIN.match(text).groups()
-        found = b""
-        for part in (letters.lower(), signs):
-            known = self.words.get(part)
-            found += self._keep(part, self._letters(part)) if known is None else known
-        return found
+    def _runs(self, text: str) -> bytes:
+        """The tokens of a text of letters, signs and blanks, each run worked out once."""
+        return b"".join(map(self.words.__getitem__, _RUN.findall(text.lower())))
 
     def word(self, text: str) -> bytes:
         """The ids of a piece between blanks, as 32-bit numbers."""
+        if not text:
+            return b""
+        if self.plain and not _OTHER.search(text):
+            return self._runs(text)
         found = self.words.get(text)
-        return self._keep(text, self._parted(text) if self.plain and _PLAIN.match(text) else self._encoded(text)) if found is None else found
+        return self.words.keep(text, self._encoded(text)) if found is None else found
 
     def made_chunk(self, raw: bytes) -> tuple:
         """(first piece, ids of the whole pieces after it, last piece, first and last whole piece); without a blank, ids are None."""
-        pieces = _BLANK.split(raw.decode("utf-8", "surrogatepass"))
-        if len(pieces) == 1:
-            return pieces[0], None, "", "", ""
-        inner, word = pieces[1:-1], self.word
-        return pieces[0], b"".join([word(p) for p in inner]), pieces[-1], inner[0] if inner else "", inner[-1] if inner else ""
+        text = raw.decode("utf-8", "surrogatepass")
+        blank = _BLANK.search(text)
+        if blank is None:
+            return text, None, "", "", ""
+        start, end = blank.end(), 1 + max(map(text.rfind, _BLANKS))
+        inner = text[start:end].rstrip(_BLANKS)
+        if self.plain and not _OTHER.search(inner):
+            ids = self._runs(inner)
+        else:
+            ids = b"".join([self.word(p) for p in _BLANK.split(inner)])
+        return text[: blank.start()], ids, text[end:], _BLANK.split(inner, 1)[0], inner[1 + max(map(inner.rfind, _BLANKS)) :]
 
     def chunk(self, raw: bytes) -> tuple:
         found = self.shared.get(raw) or self.chunks.get(raw)
@@ -154,7 +177,7 @@ class Encoder:
         """The ids' text; a tokenizer without a decoder joins its tokens by blanks, and that is done here."""
         if self.tokenizer.decoder is not None:
             return self.tokenizer.decode(array("i", ids).tolist(), skip_special_tokens=False)
-        return " ".join([self.vocabulary[i] for i in array("i", ids)])
+        return " ".join(map(self.vocabulary.__getitem__, array("i", ids)))
 
 
 _tokenizers: dict = {}

@@ -274,6 +274,34 @@ def test_bpe_tables_and_disagreeing_joins(monkeypatch):
     assert enc.ids(raws) == enc._encoded("one two three four") and enc.anew == 1
 
 
+def test_bpe_looks_runs_up_once_whatever_stands_beside_them():
+    public = pytest.importorskip("public_tokenizers")
+    enc = bpe.Encoder(public.path("word_bpe_49k.json"))
+    assert enc.plain
+    enc.words.clear()
+    text = "One two, (one) TWO-one: one|two\n| One, two... \t«one» it's 2one"
+    made = enc.made_chunk(f"a {text} b".encode())
+    assert made == ("a", enc._encoded(text), "b", "One", "2one")
+    assert set(enc.words) == {"one", "two", ",", "(", ")", "-", ":", "|", "...", "«one»", "it's", "2one"}
+    for text in ("a", "", " ", " a", "a ", "a b", "a\n\tb c ", "  a  b  "):
+        pieces = re.split(r"[ \t\n\r]+", text)
+        inner = pieces[1:-1]
+        want = (pieces[0], None, "", "", "") if len(pieces) == 1 else (pieces[0], enc._encoded(" ".join(inner)), pieces[-1], *(inner[:1] or [""]), *(inner[-1:] or [""]))
+        assert enc.made_chunk(text.encode()) == want
+
+
+def test_bpe_with_an_added_token_of_letters(tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    whole = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    whole.add_tokens(["eve"])
+    whole.save(str(tmp_path / "added.json"))
+    enc = bpe.Encoder(str(tmp_path / "added.json"))
+    texts = [prose(3, n) + " seven " + prose(4, 300) for n in range(0, 300, 10)]
+    ids, _ = bpe.encode_texts(__import__("pyarrow").array(texts), enc)
+    assert ids.to_pylist() == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_learned_models(spark, docs):
     parts = {"en": "th ing the", "de": "sch und ein", "fr": "eau les oui", "es": "cion los que"}
     rows = [(i, " ".join(parts[c].split()[(i + j * j) % 3] for j in range(40)), c) for i, c in enumerate(list(parts) * 40)]
